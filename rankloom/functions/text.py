@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
@@ -20,7 +21,7 @@ PLACEHOLDER_SURFACES = ("以下に掲載がない場合", "一円", "番地が
 OLD_FORMS = "實舊讃與學體廣應藝縣擧瀧靜"  # fixed values
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """NFKC; null stays null."""
     return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_lookalike", "p2_components", "p5_sampling")
+MODULES = ("p1_lookalike", "p2_components", "p3_overlap", "p5_sampling")
 
 
 def _parts() -> list:

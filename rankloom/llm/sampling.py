@@ -27,9 +27,9 @@ def cell_quotas(df: DataFrame, targets: DataFrame, set_column: str, cells: list[
     """
     flags = df.select(*[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in cells])
     counts = flags.groupBy(*cells).agg(F.count("*").alias("cell_rows"))
-    total = counts.agg(F.coalesce(F.sum("cell_rows"), F.lit(0)).alias("total_rows"))
+    total = counts.agg(F.coalesce(F.sum("cell_rows"), F.lit(0))).first()[0]
     wanted = targets.select(set_column, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in cells], share, fraction, floor)
-    joined = wanted.join(counts, cells, "left").crossJoin(total)  # one row of totals against a few targets
+    joined = wanted.join(counts, cells, "left").withColumn("total_rows", F.lit(total))
     need = F.greatest(F.col(floor).cast("double"), F.col(share) * F.col(fraction) * F.col("total_rows"))
     have = F.coalesce(F.col("cell_rows"), F.lit(0))
     return joined.select(

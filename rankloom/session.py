@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
+
 def build_session(app: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; on a cluster everything but the app name comes from spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -51,8 +54,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The result survives the loss of executors; nothing is kept on single machines.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # A checkpoint keeps the partitioning of its plan, and cannot when that is a union's, which names one child's columns.
+    before = spark.conf.get(UNION_PARTITIONING, None)
+    spark.conf.set(UNION_PARTITIONING, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(UNION_PARTITIONING)
+        else:
+            spark.conf.set(UNION_PARTITIONING, before)
 
 
 _shipped: set[str] = set()

@@ -6,15 +6,13 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
-
-
 def build_session(app: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; on a cluster everything but the app name comes from spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -50,22 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once, write to the shared checkpoint folder and go on from the files.
+    """Compute once, write a table into the shared checkpoint folder and go on from its files.
 
-    The result survives the loss of executors; nothing is kept on single machines.
+    The result survives the loss of executors, nothing is kept on single machines, and later joins know its size.  The
+    files go when the application ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # A checkpoint keeps the partitioning of its plan, and cannot when that is a union's, which names one child's columns.
-    before = spark.conf.get(UNION_PARTITIONING, None)
-    spark.conf.set(UNION_PARTITIONING, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        if before is None:
-            spark.conf.unset(UNION_PARTITIONING)
-        else:
-            spark.conf.set(UNION_PARTITIONING, before)
+    target = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(target)
 
 
 _shipped: set[str] = set()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_lookalike", "p2_components", "p3_overlap", "p4_pii", "p5_sampling", "p6_packing", "p8_residue")
+MODULES = ("p1_lookalike", "p2_components", "p3_overlap", "p4_pii", "p5_sampling", "p6_packing", "p7_mixing", "p8_residue")
 
 
 def _parts() -> list:

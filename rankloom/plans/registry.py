@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("q_text",)
+
+
+def _parts() -> list:
+    return [import_module(f"rankloom.plans.{name}") for name in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in _parts() for name, query in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _parts() for name, sql in part.SQL.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_text",)
+MODULES = ("q_text", "q_candidates", "q_joins")
 
 
 def _parts() -> list:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_text", "q_candidates", "q_joins", "q_reports", "q_splits", "q_usage")
+MODULES = ("q_text", "q_candidates", "q_joins", "q_reports", "q_splits", "q_usage", "q_stream")
 
 
 def _parts() -> list:

@@ -13,6 +13,16 @@ import numpy as np
 ROWS = 1 << 17
 
 
+def _intern(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values below a bound, and the array of their places."""
+    there = np.zeros(bound, bool)
+    there[values] = True
+    used = np.flatnonzero(there)
+    place = np.zeros(bound, np.int32)
+    place[used] = np.arange(len(used))
+    return used, place[values]
+
+
 class Crf:
     def __init__(self, labels: int, rows: int = ROWS) -> None:
         self.labels, self.rows = labels, rows
@@ -65,62 +75,61 @@ class Crf:
                     label = np.where(active, back[t, np.arange(len(rows)), label], label)
         return best
 
-    def _gradient(self, features: np.ndarray, gold: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Gradients of the log-likelihood by position and by move, and the positions, of one batch."""
+    def _gradient(self, features: np.ndarray, gold: np.ndarray, starts: np.ndarray, lengths: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the log-likelihood by position and by move of one batch."""
         long, n, size = int(lengths.max()), len(lengths), self.labels
-        positions = np.concatenate([np.arange(s, s + k) for s, k in zip(starts, lengths, strict=True)])
         flat = self.emissions(features[positions]).astype(np.float64)
+        flat = np.exp(flat - flat.max(1, keepdims=True))
         inner = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        scores = self._pad(flat, inner, lengths, 0.0)
-        moves, start = self.moves[:-1].astype(np.float64), self.moves[-1].astype(np.float64)
-        alpha, beta = np.zeros((long, n, size)), np.zeros((long, n, size))
-        alpha[0] = scores[:, 0] + start
-        for t in range(1, long):
-            x = alpha[t - 1][:, :, None] + moves[None]
-            top = x.max(1)
-            step = top + np.log(np.exp(x - top[:, None]).sum(1)) + scores[:, t]
-            alpha[t] = np.where((lengths > t)[:, None], step, alpha[t - 1])
-        top = alpha[-1].max(1)
-        norm = top + np.log(np.exp(alpha[-1] - top[:, None]).sum(1))
+        weight = self._pad(flat, inner, lengths, 1.0)
+        moves, start = np.exp(self.moves[:-1].astype(np.float64)), np.exp(self.moves[-1].astype(np.float64))
+        # Scaled forward and backward probabilities; a sequence that has ended keeps its last ones.
+        alpha, beta, scale = np.zeros((long, n, size)), np.ones((long, n, size)), np.ones((long, n))
+        for t in range(long):
+            x = weight[:, 0] * start if t == 0 else (alpha[t - 1] @ moves) * weight[:, t]
+            total, going = x.sum(1), lengths > t
+            scale[t] = np.where(going, total, 1.0)
+            alpha[t] = np.where(going[:, None], x / total[:, None], alpha[t - 1] if t else x)
         for t in range(long - 2, -1, -1):
-            x = moves[None] + (scores[:, t + 1] + beta[t + 1])[:, None, :]
-            top = x.max(2)
-            step = top + np.log(np.exp(x - top[:, :, None]).sum(2))
-            beta[t] = np.where((lengths > t + 1)[:, None], step, 0.0)
+            x = ((beta[t + 1] * weight[:, t + 1]) @ moves.T) / scale[t + 1][:, None]
+            beta[t] = np.where((lengths > t + 1)[:, None], x, 1.0)
         by_move, by_position = np.zeros_like(self.moves, np.float64), np.zeros((len(positions), size))
         for t in range(long):
-            active = lengths > t
-            marginal = np.exp(alpha[t][active] + beta[t][active] - norm[active][:, None])
-            at = inner[active] + t
+            active = np.flatnonzero(lengths > t)
+            marginal = alpha[t][active] * beta[t][active]
+            at, truth = inner[active] + t, gold[starts[active] + t]
             by_position[at] -= marginal
-            truth = gold[starts[active] + t]
             by_position[at, truth] += 1
             if t == 0:
-                by_move[-1] -= marginal.sum(0)
-                np.add.at(by_move[-1], truth, 1)
+                by_move[-1] += np.bincount(truth, minlength=size) - marginal.sum(0)
             else:
-                pair = np.exp(alpha[t - 1][active][:, :, None] + moves[None] + (scores[active, t] + beta[t][active])[:, None, :] - norm[active][:, None, None])
-                by_move[:-1] -= pair.sum(0)
-                np.add.at(by_move, (gold[starts[active] + t - 1], truth), 1)
-        return by_position, by_move, positions
+                right = weight[active, t] * beta[t][active] / scale[t][active][:, None]
+                by_move[:-1] -= (alpha[t - 1][active].T @ right) * moves
+                by_move[:-1] += np.bincount(gold[starts[active] + t - 1] * size + truth, minlength=size * size).reshape(size, size)
+        return by_position, by_move
 
     def fit(self, features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.25, penalty: float = 2e-4, seed: int = 5) -> None:
         """Features are interned first, so a step only touches the rows that occur."""
-        rows, compact = np.unique(features, return_inverse=True)
-        compact = compact.reshape(features.shape)
+        rows, compact = _intern(features, self.rows)
         full, self.weights = self.weights, np.zeros((len(rows), self.labels), np.float32)
         squares, move_squares = np.full(self.weights.shape, 1e-3, np.float32), np.full(self.moves.shape, 1e-3)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         order, rng = np.argsort(lengths, kind="stable"), np.random.default_rng(seed)
         batches = [order[i : i + batch] for i in range(0, len(order), batch)]
+        rows_of = []  # the weight rows of each batch, which no epoch changes
+        for at in batches:
+            positions = np.concatenate([np.arange(s, s + k) for s, k in zip(starts[at], lengths[at], strict=True)])
+            rows_of.append((positions, *_intern(compact[positions], len(rows))))
         for _ in range(epochs):
             for k in rng.permutation(len(batches)):
                 at = batches[k]
-                by_position, by_move, positions = self._gradient(compact, gold, starts[at], lengths[at])
-                used, inverse = np.unique(compact[positions], return_inverse=True)
-                inverse = inverse.reshape(len(positions), -1)
-                flat = np.repeat(by_position[:, None, :], inverse.shape[1], 1).reshape(-1, self.labels)
-                grad = np.stack([np.bincount(inverse.ravel(), flat[:, c], len(used)) for c in range(self.labels)], 1) / len(at)
+                positions, used, inverse = rows_of[k]
+                by_position, by_move = self._gradient(compact, gold, starts[at], lengths[at], positions)
+                grad = np.zeros((len(used), self.labels))
+                flat, wide = inverse.ravel(), inverse.shape[1]
+                for c in range(self.labels):
+                    grad[:, c] = np.bincount(flat, np.repeat(by_position[:, c], wide), len(used))
+                grad /= len(at)
                 grad -= penalty * self.weights[used]
                 squares[used] += grad**2
                 self.weights[used] += rate * grad / np.sqrt(squares[used])

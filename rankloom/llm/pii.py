@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.crf import ROWS, Crf
-from rankloom.llm.pii_labels import HONORIFICS, KINDS, RARE, labelled_table
+from rankloom.llm.pii_labels import HONORIFICS, KINDS, RARE, SURNAME_TAIL, labelled_table
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -220,6 +220,14 @@ _HONORED = re.compile("様|君|氏|殿|さま")
 _WORD = re.compile("[一-鿿ァ-ヺA-Za-zＡ-Ｚａ-ｚ0-9]")
 
 
+_KANA = re.compile("[ぁ-ゖァ-ヺー]+")
+
+
+def bare_kana(text: str, start: int, end: int) -> bool:
+    """Whether a name is one run of kana that neither a label before it nor an honorific after it makes a name."""
+    return bool(_KANA.fullmatch(text, start, end)) and not re.search("名[前:：は]?$", text[:start]) and not any(text.startswith(h, end) for h in HONORIFICS)
+
+
 def honored_word(text: str, end: int) -> bool:
     """Whether a short honorific after a name is the inside of a longer word."""
     m = _HONORED.match(text, end)
@@ -230,7 +238,7 @@ class Tagger:
     """The trained model with its lexicon; small enough to be sent to each worker once."""
 
     def __init__(self, parts: list[tuple[str, str, str, str]], rows: int = 4200, epochs: int = 8) -> None:
-        self.lexicon = Lexicon(parts, RARE)
+        self.lexicon = Lexicon(parts, RARE + SURNAME_TAIL[:7])
         table = labelled_table(parts, rows)
         matrix, at, lengths = features([text for text, _ in table], self.lexicon)
         gold, offset = np.zeros(int(lengths.sum()), np.int64), 0
@@ -286,7 +294,7 @@ class Tagger:
         spans, start, kind = [], -1, ""
         for i, label in enumerate([*labels.tolist(), 0]):
             if start >= 0 and (label == 0 or label % 2 == 1 or KINDS[(label - 1) // 2] != kind):
-                if plausible(kind, text[start:i]) and not (kind == "name" and honored_word(text, i) and not self.lexicon.given.search(text[start:i])):
+                if plausible(kind, text[start:i]) and not (kind == "name" and honored_word(text, i) and not self.lexicon.given.search(text[start:i])) and not (kind == "name" and bare_kana(text, start, i)):
                     spans.append((start, i, kind))
                 start = -1
             if label and start < 0:

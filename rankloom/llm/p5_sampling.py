@@ -14,7 +14,7 @@ CELLS = ["context_sensitive", "gold_in_nbest"]
 
 def _quotas(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.cell_quotas(
-        read_table(spark, folder, "train").select("row_id", *CELLS), read_table(spark, folder, "sample_target"), "set_id", CELLS, "target_share", "sample_fraction", "min_rows"
+        read_table(spark, folder, "train").select("row_id", *CELLS), read_table(spark, folder, "sample_target").withColumn("set_id", F.col("set_id").cast("bigint")), "set_id", CELLS, "target_share", "sample_fraction", "min_rows"
     )
 
 
@@ -62,5 +62,5 @@ _CELLS_SQL = """
         FROM sample_target t LEFT JOIN counts c ON c.context_sensitive = coalesce(t.context_sensitive, false) AND c.gold_in_nbest = coalesce(t.gold_in_nbest, false))"""
 
 SQL = {
-    "p5_found": f"{_CELLS_SQL} SELECT set_id, context_sensitive::VARCHAR AS context_sensitive, gold_in_nbest::VARCHAR AS gold_in_nbest FROM quotas WHERE cell_rows < wanted",
+    "p5_found": f"{_CELLS_SQL} SELECT set_id::BIGINT AS set_id, context_sensitive::VARCHAR AS context_sensitive, gold_in_nbest::VARCHAR AS gold_in_nbest FROM quotas WHERE cell_rows < wanted",
 }

@@ -45,8 +45,8 @@ SLOTS = [
     rf"(?<![{{$#%])\{{\s*{NAME[:-1]}{{2,}}\s*\}}(?!\}})",
     rf"\[\[\s*{NAME}\s*\]\]",
     rf"%\({NAME}\)[sd]",
-    rf"(?<![\w%])%{NAME[:-1]}+%(?!\w)",
-    rf"(?<![\w_])__[a-z][a-z0-9.]*(?:_[a-z0-9.]+)*__(?![\w_])",
+    rf"(?<![a-z0-9_%])%{NAME[:-1]}+%(?![a-z0-9_])",
+    r"(?<![a-z0-9_])__[a-z][a-z0-9.]*(?:_[a-z0-9.]+)*__(?![a-z0-9_])",
     r"<[^<>\n]{0,20}(?:をここに|を)(?:挿入|入力|記入)[^<>\n]{0,6}>",
     r"[\[(【〔<][^\[\]()【】〔〕<>\n]{0,20}(?:未設定|未入力|未記入)[\])】〕>]",
     r"[\[(【〔][^\[\]()【】〔〕\n]{0,20}(?:ここに|を)[^\[\]()【】〔〕\n]{0,12}(?:入力|挿入|記入)(?:してください)?[\])】〕]",
@@ -58,7 +58,7 @@ NO_VALUE = [
     r"invalid date",
     r"(?<![a-z0-9_\"'.])nan(?=[円個件人年月日回本枚台点名%])",
     r"(?<![a-z0-9_\"'.])(?:null|undefined|none)(?=[円個件人年月日回本枚台点名%]|さん|様|ページ|番|号|氏|丁目)",
-    r"(?<![\"'\w])[^\W\d_]+\s*:\s*(?:undefined|null|nan|none)(?![\w\"',}\]])",
+    r"(?<![\"'\w])[^\W\d_]+\s*:\s*(?:undefined|null|nan|none)(?![a-z0-9_\"',}\]])",
 ]
 #: What follows or surrounds notation that is only written about.
 QUOTING = r"(?!\s*(?:[」』`\"']|のよう|という|といった|とい|と書|とは|と表|と記|など|は文字列|は整数|は[^。]{0,12}(?:表す|意味)|の記法|記法|の構文|構文|の書式|形式))"
@@ -121,10 +121,10 @@ def has_slot(text: str) -> bool:
 
 def evidence(text: str, boilerplate: set[int]) -> str | None:
     """The kind of evidence in a text without its boilerplate lines, or nothing."""
-    lines = [_TAG.sub(" ", fold(x)) for x in re.split(r"\r\n|\r|\n", text)]
-    slotted = [bool(x.strip()) and not _LOG.match(x) and has_slot(x) for x in lines]
-    if any(slotted):
+    whole = [fold(x) for x in re.split(r"\r\n|\r|\n", text)]
+    if any(has_slot(x) and not _LOG.match(x) for x in whole):
         return "placeholder"
+    lines = [_TAG.sub(" ", x) for x in whole]
     kept = [x for i, x in enumerate(lines) if i not in boilerplate and x.strip()] or [x for x in lines if x.strip()]
     weights = {"error": 0, "script": 0, "filler": 0, "content": 0}
     seen: dict[str, int] = {}

@@ -41,18 +41,18 @@ def artifact() -> Column:
     return (ctx != "") & ((c == ctx) | (c.startswith(ctx) & (shown != "") & (c != shown)))
 
 
-U_SQL = "u AS (SELECT *, coalesce(nbest[1], '') AS mozc, coalesce(final_top1, nbest[1], '') AS shown, coalesce(chosen, '') AS wanted, coalesce(overwritten, false) AS ow FROM rerank_smoke)"
-KIND_SQL = "CASE WHEN wanted = shown THEN CASE WHEN ow AND shown <> mozc THEN 'rerank_helped' ELSE 'accepted_shown' END WHEN ow AND wanted = mozc AND shown <> mozc THEN 'rerank_rejected' ELSE 'user_picked_other' END"
+U_SQL = "u AS (SELECT *, coalesce(nbest[1], '') AS baseline, coalesce(final_top1, nbest[1], '') AS shown, coalesce(chosen, '') AS wanted, coalesce(overwritten, false) AS ow FROM rerank_smoke)"
+KIND_SQL = "CASE WHEN wanted = shown THEN CASE WHEN ow AND shown <> baseline THEN 'rerank_helped' ELSE 'accepted_shown' END WHEN ow AND wanted = baseline AND shown <> baseline THEN 'rerank_rejected' ELSE 'user_picked_other' END"
 
 
 def usage(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit("")
     first = F.coalesce(F.get("nbest", F.lit(0)), none)
-    return read(spark, folder, "rerank_smoke").withColumn("mozc", first).withColumn("shown", F.coalesce("final_top1", first)).withColumn("wanted", F.coalesce("chosen", none)).withColumn("ow", F.coalesce("overwritten", F.lit(False)))
+    return read(spark, folder, "rerank_smoke").withColumn("baseline", first).withColumn("shown", F.coalesce("final_top1", first)).withColumn("wanted", F.coalesce("chosen", none)).withColumn("ow", F.coalesce("overwritten", F.lit(False)))
 
 
 def kind() -> Column:
-    return outcome(F.col("wanted"), F.col("shown"), F.col("mozc"), F.col("ow"))
+    return outcome(F.col("wanted"), F.col("shown"), F.col("baseline"), F.col("ow"))
 
 
 @query(f"WITH {U_SQL} SELECT {KIND_SQL} AS kind, source, count(*) AS n FROM u GROUP BY 1, 2")
@@ -71,18 +71,18 @@ def usage_noise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {U_SQL}, p AS (SELECT *, unnest([false, true]) AS guarded FROM u WHERE wanted <> ''), s AS (SELECT *, CASE WHEN guarded AND (length(coalesce(reading, '')) <= 2 OR coalesce(context_prev, '') = '' OR (ow AND {S.junk('shown')})) THEN mozc ELSE shown END AS seen FROM p)
-    SELECT guarded, count(*) AS n, count(*) FILTER (WHERE seen = wanted) AS shown_hit, count(*) FILTER (WHERE mozc = wanted) AS base_hit, count(*) FILTER (WHERE seen = wanted AND mozc <> wanted) AS helped, count(*) FILTER (WHERE seen <> wanted AND mozc = wanted) AS hurt,
-    round_even((count(*) FILTER (WHERE seen = wanted) - count(*) FILTER (WHERE mozc = wanted)) * 100.0 / count(*), 1) AS net_pt FROM s GROUP BY 1"""
+    f"""WITH {U_SQL}, p AS (SELECT *, unnest([false, true]) AS guarded FROM u WHERE wanted <> ''), s AS (SELECT *, CASE WHEN guarded AND (length(coalesce(reading, '')) <= 2 OR coalesce(context_prev, '') = '' OR (ow AND {S.junk('shown')})) THEN baseline ELSE shown END AS seen FROM p)
+    SELECT guarded, count(*) AS n, count(*) FILTER (WHERE seen = wanted) AS shown_hit, count(*) FILTER (WHERE baseline = wanted) AS base_hit, count(*) FILTER (WHERE seen = wanted AND baseline <> wanted) AS helped, count(*) FILTER (WHERE seen <> wanted AND baseline = wanted) AS hurt,
+    round_even((count(*) FILTER (WHERE seen = wanted) - count(*) FILTER (WHERE baseline = wanted)) * 100.0 / count(*), 1) AS net_pt FROM s GROUP BY 1"""
 )
 def usage_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded decisions with and without guards; a guarded junk overwrite falls back to the baseline."""
     u = usage(spark, folder).filter("wanted <> ''").withColumn("guarded", F.explode(F.array(F.lit(False), F.lit(True))))
     stop = F.col("guarded") & ((F.length(F.coalesce("reading", F.lit(""))) <= 2) | (F.coalesce("context_prev", F.lit("")) == "") | (F.col("ow") & T.junk_surface(F.col("shown"))))
-    s = u.withColumn("seen", F.when(stop, F.col("mozc")).otherwise(F.col("shown")))
-    seen, mozc, want = F.col("seen"), F.col("mozc"), F.col("wanted")
+    s = u.withColumn("seen", F.when(stop, F.col("baseline")).otherwise(F.col("shown")))
+    seen, baseline, want = F.col("seen"), F.col("baseline"), F.col("wanted")
     sums = s.groupBy("guarded").agg(
-        F.count("*").alias("n"), F.count_if(seen == want).alias("shown_hit"), F.count_if(mozc == want).alias("base_hit"), F.count_if((seen == want) & (mozc != want)).alias("helped"), F.count_if((seen != want) & (mozc == want)).alias("hurt")
+        F.count("*").alias("n"), F.count_if(seen == want).alias("shown_hit"), F.count_if(baseline == want).alias("base_hit"), F.count_if((seen == want) & (baseline != want)).alias("helped"), F.count_if((seen != want) & (baseline == want)).alias("hurt")
     )
     return sums.withColumn("net_pt", F.bround((F.col("shown_hit") - F.col("base_hit")) * 100.0 / F.col("n"), 1))
 

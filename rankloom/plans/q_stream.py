@@ -49,13 +49,13 @@ def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("log_id", "ts", "reading", "chosen", F.size("nbest").alias("n"))
 
 
-@query("SELECT c_custkey::VARCHAR AS key, [c_name, c_mktsegment][1:1 + c_custkey % 2] AS candidates FROM customer")
+@query("SELECT c_custkey::VARCHAR AS key, array_to_string([c_name, c_mktsegment][1:1 + c_custkey % 2], '|') AS candidates FROM customer")
 def ragged_tsv(spark: SparkSession, folder: str) -> DataFrame:
     """Candidate lists of different lengths through text files."""
     path = _place(spark)
     parts = F.slice(F.array("c_name", "c_mktsegment"), F.lit(1), (1 + F.col("c_custkey") % 2).cast("int"))
     read(spark, folder, "customer").select(F.concat_ws("\t", F.col("c_custkey").cast("string"), parts).alias("value")).write.text(path)
-    return tab_separated.read_candidates(spark, path)
+    return tab_separated.read_candidates(spark, path).select("key", F.array_join("candidates", "|").alias("candidates"))
 
 
 @query("SELECT n_nationkey::BIGINT AS id, n_name AS title FROM nation")
@@ -74,12 +74,12 @@ def scorer_udf(spark: SparkSession, folder: str) -> DataFrame:
     return gate.decide(scored, F.lit(0.5)).select("grp", "rerank_top1", F.round("margin", 6).alias("margin"), "overwritten", "final_top1")
 
 
-@query("SELECT DISTINCT o_orderpriority AS key, [o_orderpriority] AS candidates FROM orders")
+@query("SELECT DISTINCT o_orderpriority AS key, o_orderpriority AS candidates FROM orders")
 def external_pipe(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct keys through an external program."""
     keys = read(spark, folder, "orders").select("o_orderpriority").distinct()
     program = "import sys\nfor x in sys.stdin:\n    x = x.rstrip('\\n')\n    print(x, x, sep='\\t')"
-    return scoring.convert_external(keys, "o_orderpriority", [sys.executable, "-c", program])
+    return scoring.convert_external(keys, "o_orderpriority", [sys.executable, "-c", program]).select("key", F.array_join("candidates", "|").alias("candidates"))
 
 
 @query()

@@ -102,10 +102,10 @@ def usage_eval(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"WITH {U_SQL} SELECT session_id, count(*) AS n, count(DISTINCT reading) AS readings, count(*) FILTER (WHERE ow) AS overwritten, min(received_at) AS first_at, max(received_at) AS last_at FROM u GROUP BY 1")
+@query(f"WITH {U_SQL} SELECT session_id, count(*) AS n, count(DISTINCT reading) AS readings, count(*) FILTER (WHERE ow) AS overwritten, epoch_us(min(received_at)) AS first_us, epoch_us(max(received_at)) AS last_us FROM u GROUP BY 1")
 def session_report(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions with their size, keys and span."""
-    return usage(spark, folder).groupBy("session_id").agg(F.count("*").alias("n"), F.countDistinct("reading").alias("readings"), F.count_if("ow").alias("overwritten"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"))
+    return usage(spark, folder).groupBy("session_id").agg(F.count("*").alias("n"), F.countDistinct("reading").alias("readings"), F.count_if("ow").alias("overwritten"), F.unix_micros(F.min("received_at")).alias("first_us"), F.unix_micros(F.max("received_at")).alias("last_us"))
 
 
 @query(

@@ -122,3 +122,19 @@ def test_scoring(spark):
     assert scoring.parse_verdict("no")["decision"] == "invalid"
     with pytest.raises(Exception, match="ended with"):
         scoring.convert_external(spark.createDataFrame([("x",)], "k string"), "k", ["false"]).collect()
+
+
+def test_content_tokens(spark):
+    from rankloom.plans.q_more import content_token
+
+    rows = [(["名詞"], "山"), (["助詞"], "は"), (None, "x"), ([], "x"), (["名詞"], "第3"), (["名詞"], "a@b")]
+    df = spark.createDataFrame(rows, "p array<string>, s string")
+    assert [r[0] for r in df.select(content_token(F.col("p"), F.col("s"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_command_line(capsys):
+    from rankloom.__main__ import main
+
+    assert main(["list"]) == 0 and "margin_sweep" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["nothing", "x"])

@@ -76,24 +76,30 @@ def meaningful_surface(column: Column) -> Column:
     return F.coalesce((F.length(column) <= 80) & ~column.isin(*PLACEHOLDER_SURFACES) & has_kanji(column), F.lit(False))
 
 
+# What is taken out of a context or replaced in it, in this order.
+CONTEXT_STEPS = (
+    (r"\r\n|[\r\n\t]", " "),
+    (r"(?iU)\[\s*(?:edit|編集)\s*\]", ""),
+    (r"={2,}[^=\n]*={2,}", " "),
+    (r"\[\[(?:[^|\]]+\|)?([^\]]+)\]\]", "$1"),
+    (r"(?isU)\[\d+\]|<ref\b[^>]*>.*?</ref>", ""),
+    (r"={2,}", " "),
+    (r"(?U)(?:^|\s)[*＊#＃・]+(?=\s|$)", " "),
+    ("[ \t　]+", " "),
+    ("^[ 　]+|[ 　]+$", ""),
+)
+
+
 def clean_context(column: Column, max_chars: int = 50) -> Column:
     """Left context: markup dropped, text after the last sentence end, at most ``max_chars`` from the right.
 
-    Null and empty give the empty string.  The order of the steps matters.
+    Null and empty give the empty string.
     """
     text = F.coalesce(column, F.lit(""))
-    text = F.regexp_replace(text, r"\r\n|[\r\n\t]", " ")
-    text = F.regexp_replace(text, r"(?iU)\[\s*(?:edit|編集)\s*\]", "")
-    text = F.regexp_replace(text, r"={2,}[^=\n]*={2,}", " ")
-    text = F.regexp_replace(text, r"\[\[(?:[^|\]]+\|)?([^\]]+)\]\]", "$1")
-    text = F.regexp_replace(text, r"(?isU)\[\d+\]|<ref\b[^>]*>.*?</ref>", "")
-    text = F.regexp_replace(text, r"={2,}", " ")
-    text = F.regexp_replace(text, r"(?U)(?:^|\s)[*＊#＃・]+(?=\s|$)", " ")
-    text = F.regexp_replace(text, "[ \t　]+", " ")
-    text = F.regexp_replace(text, "^[ 　]+|[ 　]+$", "")
-    text = F.regexp_extract(text, r"[^。！？!?]*\z", 0)
-    text = F.regexp_replace(text, "^[ 　]+", "")
-    return F.when(F.lit(max_chars) <= 0, F.lit("")).otherwise(F.right(text, F.lit(max_chars)))
+    for pattern, replacement in CONTEXT_STEPS:
+        text = F.regexp_replace(text, pattern, replacement)
+    started = F.regexp_replace(F.regexp_extract(text, r"[^。！？!?]*\z", 0), "^[ 　]+", "")
+    return F.when(F.lit(max_chars) <= 0, F.lit("")).otherwise(F.right(started, F.lit(max_chars)))
 
 
 def cap_context(column: Column, cap: int) -> Column:

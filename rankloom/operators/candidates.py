@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: emoji, symbols, arrows, Cyrillic and Greek.
 GARBAGE = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2190}-\\x{21FF}\\x{0400}-\\x{04FF}\\x{0370}-\\x{03FF}]"
 
 

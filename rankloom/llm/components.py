@@ -140,11 +140,11 @@ def split_rows(df: DataFrame, pairs: DataFrame, key: str, source: str, reading:
 
     Groups of ``LARGE_GROUP`` of the rows or more (at most 1 / LARGE_GROUP of them) are placed first, largest first,
     where most room is left; the others follow in hash order, by the middle of their interval of running row counts.
-    A row with neither source nor reading is a group of its own.
+    The rows of a source without any reading are one group; a row with neither source nor reading is a group of its own.
     """
     roots = components(edges_of(pairs))
     by_reading = pairs.filter("r IS NOT NULL AND s IS NOT NULL").select("s", "r").distinct().join(roots, "s").groupBy("r").agg(F.min("root").alias("reading_root"))
-    known = pairs.join(roots, "s", "left").join(by_reading, "r", "left").select("source", "reading", "n", F.coalesce("root", "reading_root", "r").alias("component"))
+    known = pairs.join(roots, "s", "left").join(by_reading, "r", "left").select("source", "reading", "n", F.coalesce("root", "reading_root", "s", "r").alias("component"))
     known = materialize(known)
     lone = df.filter(F.col(source).isNull() & F.col(reading).isNull())
     sizes = known.filter("component IS NOT NULL").groupBy("component").agg(F.sum("n").alias("n")).unionByName(lone.select(F.xxhash64(F.lit("row"), key).alias("component"), F.lit(1).cast("bigint").alias("n"))).groupBy("component").agg(F.sum("n").alias("n"))

@@ -65,6 +65,16 @@ def test_rules_and_split(spark):
     assert components.split_rows(empty, none, "row_id", "source", "reading", SHARES).count() == 0
 
 
+def test_a_source_with_null_readings_only(spark):
+    rows = [(1, "E:5", None), (2, "e:5", None), (3, " E:5 ", None), (4, "F:6", None), (5, "G:7", "あ")]
+    df = spark.createDataFrame(rows, "row_id bigint, source string, reading string")
+    pairs = components.keyed_pairs(df, "source", "reading", source_key, key_norm)
+    split = {r["row_id"]: r for r in components.split_rows(df, pairs, "row_id", "source", "reading", SHARES).collect()}
+    assert sorted(split) == [1, 2, 3, 4, 5] and all(r["split"] in SHARES for r in split.values())
+    assert len({split[i]["component"] for i in (1, 2, 3)}) == 1 and len({split[i]["split"] for i in (1, 2, 3)}) == 1
+    assert len({split[i]["component"] for i in (1, 4, 5)}) == 3
+
+
 def test_shares_with_a_hot_group(spark):
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") < 1000, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") / 4).cast("int"))).alias("source"), F.col("id").cast("string").alias("reading"))
     pairs = components.keyed_pairs(df, "source", "reading", source_key, key_norm)

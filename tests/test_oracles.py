@@ -16,6 +16,13 @@ def test_query_equals_its_sql(spark, con, folder, name):
     check(spark, con, folder, registry.queries()[name], SQL[name])
 
 
+def test_sensitive_rows_have_their_share(spark):
+    larger = "/root/testdata/sf0.01"  # sf0.001 has no row beyond the reserve
+    check(spark, connect(larger), larger, registry.queries()["assemble_sized"], SQL["assemble_sized"])
+    rows = registry.queries()["assemble_sized"](spark, larger).filter("NOT corrupted").collect()
+    assert 0.3 <= sum(r["role"] == "sensitive" for r in rows) / len(rows) <= 0.4
+
+
 def test_entry_and_names():
     import __spark_entry__ as entry
 

@@ -46,15 +46,36 @@ class Crf:
         out[~inside] = fill
         return out
 
-    def decode(self, emissions: np.ndarray, lengths: np.ndarray, batch: int = 4096) -> np.ndarray:
-        """The best label of every position; ``emissions`` holds the sequences one after the other."""
+    def certain(self, emissions: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which sequences have label 0 everywhere as their best path, by a bound on every other path.
+
+        Leaving the path of zeros costs or gains, at each position with another label, at most the difference of the
+        emissions plus the best moves into that label and back; where no position can gain, no path can.
+        """
+        stay = self.moves[0, 0]
+        into = np.maximum(self.moves[:-1].max(0) - stay, self.moves[-1] - self.moves[-1, 0])
+        gain = emissions[:, 1:] - emissions[:, :1] + into[1:] + max(float(into[0]), 0.0)
+        return np.maximum.reduceat(gain.max(1), starts) <= 0
+
+    def decode(self, emissions: np.ndarray, lengths: np.ndarray, cells: int = 200_000) -> np.ndarray:
+        """The best label of every position; ``emissions`` holds the sequences one after the other.
+
+        Sequences are decoded together in order of length, as many at once as give ``cells`` positions after padding.
+        """
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         best = np.zeros(len(emissions), np.int8)
-        order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] > 0]
+        order = np.flatnonzero(lengths > 0)
+        if not len(order):
+            return best
+        order = order[~self.certain(emissions, starts[order])]
+        order = order[np.argsort(lengths[order], kind="stable")]
         moves = self.moves[:-1].T[None]  # to x from
-        for i in range(0, len(order), batch):
-            rows = order[i : i + batch]
+        at = 0
+        while at < len(order):
+            size = 1
+            while at + size < len(order) and (size + 1) * int(lengths[order[at + size]]) <= cells:
+                size += 1
+            rows, at = order[at : at + size], at + size
             own, long = lengths[rows], int(lengths[rows].max())
             scores = self._pad(emissions, starts[rows], own, 0.0)
             value = scores[:, 0] + self.moves[-1]

@@ -5,9 +5,9 @@ the class and length of the run it stands in and of its neighbours, the shape of
 (``3-4-4``, ``4 4 4``), which name parts, honorifics and labels begin, end or lie there, and the last label before it
 with its distance.  ``Tagger`` is trained on the table of ``pii_labels`` and decoded by Viterbi in batches.
 
-Texts without any digit run, at sign, honorific, name part, capitalised word or label carry no evidence for a label and
-are passed over; every other text is read whole.  An exact check follows the decoding: a span must hold what its kind
-needs (an email a domain, a phone ten or eleven digits, ...).
+Every text is read whole; a long one is tagged in pieces that overlap by ``MARGIN`` characters on both sides, further than
+any feature but the last label reaches.  An exact check follows the decoding: a span must hold what its kind needs (an
+email a domain, a phone nine to thirteen digits, ...).
 
 Defined results: null and empty texts have no spans; repeated rows are tagged alike; length is unbounded; an empty table
 of name parts only removes those features.
@@ -28,23 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.crf import ROWS, Crf
-from rankloom.llm.pii_labels import HONORIFICS, KINDS, RARE, SURNAME_TAIL, labelled_table
+from rankloom.llm.pii_labels import HONORIFICS, KINDS, labelled_table
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # Words that announce or belong to a kind of text.
 CUES = {
-    "email": "メール 宛先 宛て 転送 e-mail mail: アドレス".split(),
-    "phone": "電話 携帯 折り返し 連絡先 急ぎなら tel 留守電 番号が 番号は ファクス fax".split(),
-    "id_number": "マイナンバー 個人番号 免許証 旅券 パスポート 在留カード 保険証 被保険者 申請欄 本人確認".split(),
-    "order": "注文番号 請求書 問い合わせ番号 伝票 追跡番号 受付番号 品番 型番 製品番号 製造番号 バージョン 座標 単価 会員番号".split(),
-    "address": "住所 届け先 送り先 引っ越し 丁目 番地 号室 〒 行き方".split(),
-    "name": "氏名 お名前 担当 席は 名義 宛名 昨日 mr. ms. mrs. dr.".split(),
-    "place": "県 府 市 郡 町 村 区 -cho -shi japan".split(),
+    "email": "メール アドレス e-mail email mail:".split(),
+    "phone": "電話 携帯 連絡先 tel ファクス ファックス fax 内線".split(),
+    "id_number": "マイナンバー 個人番号 免許証 旅券 パスポート 在留カード 保険証 被保険者".split(),
+    "order": "注文 請求 問い合わせ 伝票 追跡 受付番号 整理番号 会員番号 品番 型番 製品番号 商品番号 製造番号 シリアル バージョン".split(),
+    "address": "住所 届け先 丁目 番地 号室 〒 所在地".split(),
+    "name": "氏名 名前 担当 mr. ms. mrs. dr. mr ms".split(),
+    "place": "県 府 市 郡 町 村 区 -cho -machi -shi -ku japan".split(),
 }
 FLAGS = {"family": 1, "given": 2, "family_kana": 4, "given_kana": 8, "family_romaji": 16, "given_romaji": 32, "honorific": 64}
-TRIGGER = re.compile(r"[0-9０-９]{3}|[0-9０-９]\s?[-ー−‐－(（][\s0-9０-９]|[@＠]|アット|\[at\]|さん|さま|様|氏|先生|殿|くん|君|ちゃん|長|教授|名前|丁目|番地|〒|[A-ZＡ-Ｚ][A-Za-zａ-ｚＡ-Ｚ]|M[rs]")
+#: Characters of a piece of a long text, those that neighbouring pieces share on each side, the farthest label that counts.
+PIECE, MARGIN, REACH = 4000, 256, 64
+#: Most name parts; the table of parts goes to every worker.
+MOST_PARTS = 100_000
 
 _NEWLINE, _DIGIT, _LOWER, _UPPER, _HIRA, _KATA, _KANJI, _SPACE, _DASH, _AT, _DOT, _PAREN, _PUNCT, _COLON, _OTHER, _LONG = range(16)
 
@@ -76,7 +79,7 @@ def _mix(*parts: np.ndarray | int) -> np.ndarray:
     for part in parts:
         value = (value ^ np.asarray(part, np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         value = value ^ (value >> np.uint64(29))
-    return (value % np.uint64(ROWS)).astype(np.int32)
+    return (value & np.uint64(ROWS - 1)).astype(np.int32)
 
 
 def _shift(values: np.ndarray, by: int) -> np.ndarray:
@@ -97,10 +100,8 @@ _CLUSTER = re.compile(r"[+(]?[0-9][0-9()\-ー. ]*[0-9]")
 class Lexicon:
     """Name parts, honorifics and labels as one automaton over folded text."""
 
-    def __init__(self, parts: list[tuple[str, str, str, str]], terms: str = "") -> None:
-        self.parts, self.terms = parts, terms
-        self.is_term = np.zeros(0x110000, np.uint8)
-        self.is_term[[ord(x) for x in terms]] = 1
+    def __init__(self, parts: list[tuple[str, str, str, str]]) -> None:
+        self.parts = parts
         words: dict[str, list[tuple[str, int]]] = {}
         kata = str.maketrans("".join(map(chr, range(0x3041, 0x3097))), "".join(map(chr, range(0x30A1, 0x30F7))))
         for kind, written, kana, romaji in parts:
@@ -116,7 +117,6 @@ class Lexicon:
         for word, meanings in words.items():
             self.automaton.add_word(word, (len(word), meanings))
         self.automaton.make_automaton()
-        self.given = re.compile("|".join(re.escape(w) for w, m in words.items() if any(k == "flag" and v & 42 for k, v in m)) or r"(?!)", re.IGNORECASE)
 
 
 def features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
                 code = (code * 61 + (min(len(piece), 14) if piece[0].isdigit() else 15 + ord(piece[0]) % 45)) & 0xFFFFFFFFFFFF
             shape[m.start() : m.end()] = code + 1
     # Words of the lexicon.
-    inside, begins, ends, cue = (np.zeros(size, np.uint64) for _ in range(4))
+    inside, begins, ends, cue, then = (np.zeros(size, np.uint64) for _ in range(5))
     letters = (kind == _LOWER) | (kind == _UPPER)
     for end, (length, meanings) in lexicon.automaton.iter(lowered):
         start = end + 1 - length
@@ -162,18 +162,20 @@ def features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
                 inside[start : end + 1] |= np.uint64(value)
                 begins[start] |= np.uint64(value)
                 ends[end] |= np.uint64(value)
+                if value == FLAGS["honorific"]:  # what stands behind an honorific
+                    then[start] = max(int(then[start]), (1 + int(kind[min(end + 1, size - 1)])) * 4 + min(length, 3))
     index = np.arange(size)
     text_start = np.maximum.accumulate(np.where(np.concatenate([[True], breaks[:-1]]), index, 0))
     cued = np.where((cue > 0) & (cue < 7), index, -1)
     last = np.maximum.accumulate(np.concatenate([[-1], cued[:-1]]))
-    known = last >= text_start
+    known = (last >= text_start) & (index - last <= REACH)
     last_kind = np.where(known, cue[np.maximum(last, 0)], 0).astype(np.uint64)
     last_far = np.searchsorted([1, 2, 4, 7, 12, 20], np.where(known, index - last, 99), side="right").astype(np.uint64)
     polite = np.where((begins & np.uint64(64)) > 0, index, size + 99)
     following = np.minimum.accumulate(np.concatenate([polite[1:], [size + 99]])[::-1])[::-1]
     polite_far = np.minimum(following - index, 9).astype(np.uint64)
-    term = lexicon.is_term[codes].astype(np.uint64)
-    terms = term + np.uint64(2) * _shift(term, -1) + np.uint64(4) * _shift(term, 1) + np.uint64(8) * _shift(term, 2) + np.uint64(16) * _shift(term, -2)
+    behind = np.where(following <= index + 8, then[np.minimum(following, size - 1)], 0).astype(np.uint64)
+    left = (index == text_start).astype(np.uint64) + np.uint64(2) * _shift(breaks.astype(np.uint64), 1)
     k = {i: _shift(kind, i) for i in range(-3, 4)}
     c = {i: _shift(char, i) for i in range(-2, 3)}
     columns = [
@@ -186,7 +188,7 @@ def features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
         _mix(22, inside, kind), _mix(23, _shift(inside, -1), inside), _mix(24, inside, _shift(inside, 1)), _mix(25, begins, ends), _mix(26, _shift(ends, -1), begins),
         _mix(27, _shift(ends, -2), _shift(kind, -1), begins), _mix(28, ends, _shift(begins, 1)), _mix(29, ends, _shift(kind, 1), _shift(begins, 2)),
         _mix(33, inside, last_kind, last_far), _mix(34, inside, polite_far), _mix(35, c[-1], last_kind, kind),
-        _mix(36, terms, kind), _mix(37, terms, polite_far, kind), _mix(38, terms, k[-2], k[-1], k[0], k[1]), _mix(39, term, inside, _shift(kind, 1)),
+        _mix(36, behind, polite_far, kind), _mix(37, behind, k[-1], k[0], k[1]), _mix(38, behind, inside), _mix(39, behind, c[0]), _mix(40, left, own, polite_far), _mix(41, c[0], polite_far), _mix(42, own, place, polite_far, behind),
     ]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     return np.stack(columns, 1), np.flatnonzero(_text_mask(lengths, size)), lengths
@@ -216,29 +218,17 @@ def plausible(kind: str, text: str) -> bool:
     return len(text.strip()) >= 2 and not _digits(text) and "@" not in text
 
 
-_HONORED = re.compile("様|君|氏|殿|さま")
-_WORD = re.compile("[一-鿿ァ-ヺA-Za-zＡ-Ｚａ-ｚ0-9]")
-
-
-_KANA = re.compile("[ぁ-ゖァ-ヺー]+")
-
-
-def bare_kana(text: str, start: int, end: int) -> bool:
-    """Whether a name is one run of kana that neither a label before it nor an honorific after it makes a name."""
-    return bool(_KANA.fullmatch(text, start, end)) and not re.search("名[前:：は]?$", text[:start]) and not any(text.startswith(h, end) for h in HONORIFICS)
-
-
-def honored_word(text: str, end: int) -> bool:
-    """Whether a short honorific after a name is the inside of a longer word."""
-    m = _HONORED.match(text, end)
-    return bool(m and _WORD.match(text, m.end()) and not re.match("[宛方本側達]", text[m.end()]))
+def pieces(length: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last): overlapping pieces of a text and the range of starts that each one decides."""
+    cuts = [*range(0, max(length - PIECE // 2, 1), PIECE), length]
+    return [(max(a - MARGIN, 0), min(b + MARGIN, length), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Tagger:
     """The trained model with its lexicon; small enough to be sent to each worker once."""
 
-    def __init__(self, parts: list[tuple[str, str, str, str]], rows: int = 4200, epochs: int = 8) -> None:
-        self.lexicon = Lexicon(parts, RARE + SURNAME_TAIL[:7])
+    def __init__(self, parts: list[tuple[str, str, str, str]], rows: int = 6000, epochs: int = 8) -> None:
+        self.lexicon = Lexicon(parts)
         table = labelled_table(parts, rows)
         matrix, at, lengths = features([text for text, _ in table], self.lexicon)
         gold, offset = np.zeros(int(lengths.sum()), np.int64), 0
@@ -255,46 +245,38 @@ class Tagger:
 
     def __getstate__(self) -> dict:
         rows = np.flatnonzero(self.model.weights.any(1))
-        return {"parts": self.lexicon.parts, "terms": self.lexicon.terms, "rows": rows.astype(np.int32), "weights": self.model.weights[rows], "moves": self.model.moves}
+        return {"parts": self.lexicon.parts, "rows": rows.astype(np.int32), "weights": self.model.weights[rows], "moves": self.model.moves}
 
     def __setstate__(self, state: dict) -> None:
-        self.lexicon, self.model = Lexicon(state["parts"], state["terms"]), Crf(len(LABELS))
+        self.lexicon, self.model = Lexicon(state["parts"]), Crf(len(LABELS))
         self.model.weights[state["rows"]], self.model.moves = state["weights"], state["moves"]
 
-    def with_terms(self, terms: str) -> Tagger:
-        """The same model for data whose invented terms use these ideographs."""
-        own = Tagger.__new__(Tagger)
-        own.lexicon, own.model = Lexicon(self.lexicon.parts, terms), self.model
-        return own
-
     def tag(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """[(start, end, kind)] for each text."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        some = [i for i, x in enumerate(texts) if x and (TRIGGER.search(x) or self.lexicon.given.search(x))]
+        todo = [(i, *piece) for i, x in enumerate(texts) if x for piece in pieces(len(x))]
         step, at = 60_000, 0
-        while at < len(some):  # batches of a bounded number of characters, or one long text
+        while at < len(todo):  # batches of a bounded number of characters
             rows, total = [], 0
-            while at < len(some) and (not rows or total + len(texts[some[at]]) <= step):
-                rows.append(some[at])
-                total += len(texts[some[at]])
+            while at < len(todo) and (not rows or total + todo[at][2] - todo[at][1] <= step):
+                rows.append(todo[at])
+                total += todo[at][2] - todo[at][1]
                 at += 1
-            matrix, positions, lengths = features([texts[i] for i in rows], self.lexicon)
+            parts = [texts[i][start:end] for i, start, end, _, _ in rows]
+            matrix, positions, lengths = features(parts, self.lexicon)
             best = self.model.decode(self.model.emissions(matrix[positions]), lengths)
-            offset = 0
-            hits = np.flatnonzero(best)
             bounds = np.cumsum(lengths)
-            owners = np.searchsorted(bounds, hits, side="right")
-            for owner in np.unique(owners):
-                offset = int(bounds[owner] - lengths[owner])
-                own = best[offset : int(bounds[owner])]
-                out[rows[owner]] = self._spans(texts[rows[owner]], own)
+            for owner in np.unique(np.searchsorted(bounds, np.flatnonzero(best), side="right")):
+                i, start, _, first, last = rows[owner]
+                own = best[int(bounds[owner] - lengths[owner]) : int(bounds[owner])]
+                out[i] += [(start + a, start + b, kind) for a, b, kind in self._spans(parts[owner], own) if first <= start + a < last]
         return out
 
     def _spans(self, text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
         spans, start, kind = [], -1, ""
         for i, label in enumerate([*labels.tolist(), 0]):
             if start >= 0 and (label == 0 or label % 2 == 1 or KINDS[(label - 1) // 2] != kind):
-                if plausible(kind, text[start:i]) and not (kind == "name" and honored_word(text, i) and not self.lexicon.given.search(text[start:i])) and not (kind == "name" and bare_kana(text, start, i)):
+                if plausible(kind, text[start:i]):
                     spans.append((start, i, kind))
                 start = -1
             if label and start < 0:
@@ -308,19 +290,8 @@ def _trained(parts: tuple[tuple[str, str, str, str], ...]) -> Tagger:
     return Tagger(list(parts))
 
 
-def tagger_bytes(parts: tuple[tuple[str, str, str, str], ...], terms: str) -> bytes:
-    return pickle.dumps(_trained(parts).with_terms(terms))
-
-
-def term_letters(df: DataFrame, candidates: str, share: float = 0.0005) -> str:
-    """The ideographs that make up the candidates: those with this share of all their ideographs, counted over all rows.
-
-    A script has fewer letters than a driver can hold, whatever the data.
-    """
-    letters = df.select(F.explode(F.split(F.regexp_replace(F.concat_ws("", candidates), "[^一-鿿]", ""), "")).alias("letter")).filter("letter <> ''")
-    counts = letters.groupBy("letter").agg(F.count("*").alias("n")).collect()
-    total = sum(x["n"] for x in counts)
-    return "".join(sorted(x["letter"] for x in counts if x["n"] >= share * total))
+def tagger_bytes(parts: tuple[tuple[str, str, str, str], ...]) -> bytes:
+    return pickle.dumps(_trained(parts))
 
 
 @lru_cache(maxsize=2)
@@ -337,8 +308,11 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def name_parts(df: DataFrame) -> tuple[tuple[str, str, str, str], ...]:
-    """The small fixed table of name parts on the driver."""
-    rows = df.select("kind", "written", "kana", "romaji").filter("kind IN ('family', 'given') AND written IS NOT NULL").distinct().orderBy("kind", "written", "kana", "romaji").limit(100_000).collect()
+    """The small fixed table of name parts on the driver; more than ``MOST_PARTS`` are refused."""
+    parts = df.select("kind", "written", "kana", "romaji").filter("kind IN ('family', 'given') AND written IS NOT NULL").distinct()
+    rows = sorted(parts.limit(MOST_PARTS + 1).collect(), key=lambda r: tuple(x or "" for x in r))
+    if len(rows) > MOST_PARTS:
+        raise ValueError(f"more than {MOST_PARTS} name parts")
     return tuple((r["kind"], r["written"], r["kana"] or "", r["romaji"] or "") for r in rows)
 
 

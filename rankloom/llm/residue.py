@@ -2,12 +2,12 @@
 
 1. Normalised lines are counted by host over all records (different texts, so copies do not count); lines that recur
    in enough texts of a host are boilerplate.
-2. A DuckDB pass over whole texts keeps the suspects: any notation or word that could be evidence, or sentences that
-   repeat.  It only saves work: a record without any of these cannot have evidence below.
-3. From each suspect the boilerplate is subtracted, unless nothing else would be left or the line has an open slot; the
-   sentences of the residual are judged.  An open slot, or one filled with a program's word for "no value", anywhere in
-   the residual is enough; error, script and filler sentences must make up half of the residual's sentences by length,
-   so that articles about such things stay.
+2. The boilerplate is subtracted from each record, unless nothing else would be left; the sentences of the residual are
+   judged.  An open slot, or one filled with a program's word for "no value", anywhere in the residual is enough; error,
+   script and filler sentences must make up half of the residual's sentences by length, so that articles about such
+   things stay.
+3. The first pass judges every record line by line for any evidence at all; only a record with some goes through the
+   subtraction, which takes lines away and so can add none.  Both passes use the same patterns (``signs``).
 
 Defined results: null and empty texts are not found (they have no residual); repeated rows are judged alike; a null or
 odd url takes the record's source as host; lengths are unbounded.
@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.lookalike import map_batches
 from rankloom.operators.skew import salted_lookup
 from rankloom.session import materialize
 
@@ -70,65 +69,62 @@ REASON = (
     r"(?:bad request|unauthorized|forbidden|(?:page )?not found|method not allowed|request timeout|gone|too many requests|"
     r"internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
 )
+# What public servers, frameworks and blogs say instead of an article, in folded text.
+ERROR_LINE = re.compile(
+    rf"\W*(?:(?:http|error|status|ステータス|エラー(?:コード)?|http status)\W*)?{STATUS}\b\W*(?:{REASON})?\W*$|"
+    rf"\W*(?:(?:http|error)\W*)?(?:{STATUS}\W*)?{REASON}\W*(?:{STATUS})?\W*$|"
+    r"\W*(?:request id|ref|error id|trace id)\s*[:=]|\W*(?:php )?(?:warning|fatal error|notice): "
+)
 ERROR = re.compile(
-    rf"^\W*(?:(?:http|error|status|ステータス|エラー(?:コード)?|http status)\W*)?{STATUS}\b\W*(?:{REASON})?\W*$|"
-    rf"^\W*(?:(?:http|error)\W*)?(?:{STATUS}\W*)?{REASON}\W*(?:{STATUS})?\W*$|"
-    r"^\W*(?:request id|ref|error id|trace id)\s*[:=]|"
-    r"お探しのページ|ページ(?:が|は)(?:存在し|見つかりませ)|(?:見つかりません|存在しません)(?:でした)?\W*$|移動された可能性|記事は削除されました|表示する権限がありません|権限がありません\W*$|"
-    r"データベースに接続できません|接続できませんでした|内部でエラーが発生|エラーが発生しました|しばらくしてから再度|時間をおいて(?:再度)?(?:アクセス|お試し)|アクセスが集中し|メンテナンス中です|ご不便をおかけ|"
-    r"タイムアウトしました|セッションの有効期限|もう一度ログイン|ログインし(?:直し)?てください\W*$|予期しない(?:問題|エラー)|処理を中断しました|(?:url|アドレス)の入力に誤り|ただいま(?:混み合|アクセス)|"
-    r"could not find what you|page you (?:requested|are looking)|something (?:broke|went wrong)|reload the page|try again later|upstream server|did not respond|access denied|request was blocked|blocked by the site|"
-    r"checking your browser|happens automatically|session (?:has )?expired|(?:please )?log ?in again|(?:under|for|down for) maintenance|traceback \(most recent call last\)|file \"[^\"]+\", line \d|"
-    r"^\W*(?:php )?(?:warning|fatal error|notice): |undefined (?:index|variable|offset)|keyerror|stack trace"
+    r"お探しの(?:ページ|記事|情報|商品)|(?:ページ|記事|ファイル|url)(?:が|は)(?:存在し|見つかりませ|削除され|移動し)|(?:見つかりません|存在しません)(?:でした)?\W*$|移動(?:された|した)可能性|削除された可能性|(?:表示|閲覧|アクセス)する権限がありません|権限がありません\W*$|"
+    r"データベースに接続できません|接続できませんでした|サーバーに接続でき|内部でエラーが発生|エラーが(?:発生|起き)|しばらく(?:して|経って|時間をおいて)から(?:再度|もう一度)|時間をおいて(?:再度|もう一度)?(?:アクセス|お試し)|アクセスが集中し|メンテナンス(?:中です|を行って|のため)|ご不便をおかけ|ご迷惑をおかけ|"
+    r"タイムアウト(?:しました|になりました)|セッションの有効期限|もう一度ログイン|ログインし(?:直し)?てください\W*$|予期しない(?:問題|エラー)|処理を中断しました|(?:url|アドレス)(?:の入力に|に)(?:誤り|間違い)|ただいま(?:混み合|アクセス)|"
+    r"could not find what you|page you (?:requested|are looking|were looking)|something (?:broke|went wrong)|reload the page|try again (?:later|in)|upstream server|did not respond|access denied|(?:request|access) (?:was|has been) blocked|blocked by the site|"
+    r"checking your browser|happens automatically|session (?:has )?(?:expired|timed out)|(?:please )?log ?in again|(?:under|for|down for|scheduled) maintenance|traceback \(most recent call last\)|file \"[^\"]+\", line \d|"
+    r"undefined (?:index|variable|offset)|keyerror|stack trace|error establishing a database connection|this site can.t be reached|page isn.t working"
 )
 #: In a line that is no prose, between navigation.
 LOOSE_ERROR = re.compile(rf"(?:http|error|status|ステータス|エラー(?:コード)?)\W*{STATUS}\b|\b{REASON}\b|request id\s*[:=]|\bref=[0-9a-f]")
 SCRIPT_WORD = r"(?:java ?script|スクリプト|\bscripts?\b|cookie)"
 SCRIPT = re.compile(
     rf"{SCRIPT_WORD}[^。]{{0,40}}(?:有効|オン|許可|無効|対応していません|使用しています|必要です|enabled?|turn|disabled|turned off|required|supported|to run)|"
-    rf"(?:enable|turn on|allow|requires?|needs?)[^。.]{{0,30}}{SCRIPT_WORD}|scripts turned off|turn them on|ブラウザの設定をご確認|オンにしてから再読み込み|読み込んでいます…"
+    rf"(?:enable|turn on|allow|requires?|needs?)[^。.]{{0,30}}{SCRIPT_WORD}|scripts turned off|turn them on|ブラウザの設定をご確認|オンにしてから再読み込み|読み込(?:み中|んでい(?:ます|る))\W*$"
 )
+# Usual texts of layouts without content.
 FILLER = re.compile(
-    r"ダミー|サンプル(?:テキスト|サンプル|です|の文)|仮の(?:文|テキスト|本文)|ここに(?:テキスト|文章|本文|説明)が入り|差し替えます|差し替え予定|レイアウト確認|穴埋め|字詰めの見本|置いた仮|(?:本文|準備)(?:は)?準備中|\(準備中\)|"
-    r"あいうえおかき|いろはにほへと|テスト(?:テスト|投稿|です)|てすと(?:投稿|てすと|です)|1234567890|abcdefg|asdf|lorem ipsum|dolor sit|placeholder text|(?:dummy|filler|sample) text|text goes here|insert (?:text|content)|"
-    r"^(?:[^\w\s]|_){4,}\W*$|^(.{1,12}?)\1{2,}\W*$|^(.)\2{3,}\W*$"
+    r"ダミー|サンプル(?:テキスト|サンプル|です|の文)|仮の(?:文|テキスト|本文|原稿)|仮(?:テキスト|文章|原稿)|ここに(?:テキスト|文章|本文|説明|内容)が入り|差し替え(?:ます|予定|る予定)|レイアウト確認|穴埋め|(?:本文|準備|工事)(?:は)?(?:準備|工事)?中(?:です)?\W*$|\(準備中\)|"
+    r"あいうえおかき|いろはにほへと|[てテ][すス][とト](?:[てテ][すス][とト]|投稿|記事|です)|1234567890|abcdefg|asdf|lorem ipsum|dolor sit|placeholder text|(?:dummy|filler|sample) text|text goes here|insert (?:text|content)|coming soon|under construction"
 )
+#: A sentence of signs only, a piece that is repeated three times, a character four times.
+EMPTY_LINE = re.compile(r"(?:[^\w\s]|_){4,}\W*$|(.{1,12}?)\1{2,}\W*$|(.)\2{3,}\W*$")
 _FORMAT = re.compile("[­​-‏‪-‮⁠-⁯﻿︀-️]")
 _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]{0,200})?/?>")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[t ]\d\d:\d\d|\[?(?:info|warn|warning|error|debug)\]?\s+\d|[\w.-]+\s*[=:]\s*\S+$|\{.*\}$)")
 _ENDED = re.compile(r"[。！？!?.]\W*$")
 _SENTENCE = re.compile(r"[^。！？!?\n]*[。！？!?]+[」』)]*|[^。！？!?\n]+")
 
-#: RE2 of everything that evidence needs, on the raw text without format characters.
-SUSPECT = (
-    r"(?i)[{｛$＄%％]|#\{|<[%<]|＜|__|＿＿|\[\[[a-z_]|［|\[object|未設定|未入力|未記入|入力[】〕）)\]]|挿入|記入|※|undefined|null|\bnan|none|invalid|"
-    r"not found|forbidden|gateway|unavailable|server error|too many|unauthorized|denied|blocked|bad request|method not|time-?out|\bgone\b|(?:^|[^0-9])[45][0-9][0-9](?:[^0-9]|$)|request id|"
-    r"ページ(?:が|は)|見つかりません|存在しません|可能性が|削除され|権限が|接続でき|エラー|再度|時間をおいて|集中し|メンテナンス|ご不便|タイムアウト|有効期限|ログイン|予期しない|中断し|誤りが|ただいま|"
-    r"could not|went wrong|broke|reload|try again|upstream|respond|checking|expired|log ?in|maintenance|traceback|warning|keyerror|stack|"
-    r"script|スクリプト|cookie|ブラウザ|再読み込み|読み込んで|"
-    r"ダミー|サンプル|仮の|ここに|差し替え|レイアウト|穴埋め|見本|準備中|あいうえお|いろは|テスト|てすと|12345|asdf|abcd|lorem|ipsum|placeholder|filler|sample text|dummy|text goes|insert |[ａ-ｚＡ-Ｚ１-９]{3}|"
-    r"[■□○●△▲▽▼◇◆☆★＊*]{4}|あああ|ＸＸＸ|xxx"
-)
-
 
 def fold(text: str) -> str:
     return _FORMAT.sub("", unicodedata.normalize("NFKC", _FORMAT.sub("", text))).lower()
 
 
+#: What every slot and every empty value contains; most lines have neither.
+_SIGN, _VALUE = re.compile(r"[{<$#\[%_(【〔※]"), re.compile("object|invalid|nan|null|undefined|none")
+
+
 def has_slot(text: str) -> bool:
-    return bool(OPEN_SLOT.search(text) or EMPTY_VALUE.search(text))
+    return bool(_SIGN.search(text) and OPEN_SLOT.search(text) or _VALUE.search(text) and EMPTY_VALUE.search(text))
 
 
-def evidence(text: str, boilerplate: set[int]) -> str | None:
-    """The kind of evidence in a text without its boilerplate lines, or nothing."""
-    whole = [fold(x) for x in re.split(r"\r\n|\r|\n", text)]
-    if any(has_slot(x) and not _LOG.match(x) for x in whole):
-        return "placeholder"
-    lines = [_TAG.sub(" ", x) for x in whole]
-    kept = [x for i, x in enumerate(lines) if i not in boilerplate and x.strip()] or [x for x in lines if x.strip()]
+def _bare(line: str) -> str:
+    return _TAG.sub(" ", line) if "<" in line else line
+
+
+def signs(lines: list[str]) -> dict[str, int]:
+    """How many characters of the sentences of folded lines speak for each kind, and for content."""
     weights = {"error": 0, "script": 0, "filler": 0, "content": 0}
     seen: dict[str, int] = {}
-    for line in kept:
+    for line in lines:
         for sentence in _SENTENCE.findall(line):
             sentence = sentence.strip()
             size = len(sentence)
@@ -137,9 +133,9 @@ def evidence(text: str, boilerplate: set[int]) -> str | None:
             seen[sentence] = seen.get(sentence, 0) + 1
             if SCRIPT.search(sentence):
                 weights["script"] += size
-            elif ERROR.search(sentence):
+            elif ERROR_LINE.match(sentence) or ERROR.search(sentence):
                 weights["error"] += size
-            elif FILLER.search(sentence) or seen[sentence] > 2 and size > 3:
+            elif FILLER.search(sentence) or EMPTY_LINE.match(sentence) or seen[sentence] > 2 and size > 3:
                 weights["filler"] += size
             elif _ENDED.search(sentence):
                 weights["content"] += size
@@ -147,10 +143,30 @@ def evidence(text: str, boilerplate: set[int]) -> str | None:
                 weights["error"] += size
             elif size >= 40:
                 weights["content"] += size
+    return weights
+
+
+def _judge(text: str, boilerplate: set[int], share: float) -> str | None:
+    whole = [fold(x) for x in re.split(r"\r\n|\r|\n", text)]
+    some = [i for i, x in enumerate(whole) if x.strip()]
+    kept = [whole[i] for i in some if i not in boilerplate] or [whole[i] for i in some]
+    if any(has_slot(x) and not _LOG.match(x) for x in kept):
+        return "placeholder"
+    weights = signs([_bare(x) for x in kept])
     total = sum(weights.values())
     kind = max(("error", "script", "filler"), key=weights.__getitem__)
     found = total - weights["content"]
-    return kind if found and found >= PAGE_SHARE * total else None
+    return kind if found and found >= share * total else None
+
+
+def evidence(text: str, boilerplate: set[int]) -> str | None:
+    """The kind of evidence in a text without its boilerplate lines (all of it if nothing else is left), or nothing."""
+    return _judge(text, boilerplate, PAGE_SHARE)
+
+
+def suspect(text: str) -> bool:
+    """Whether a text has any evidence at all, however little of it; no subtraction of lines can bring more."""
+    return _judge(text, set(), 0.0) is not None
 
 
 def _host(url: Column, source: Column) -> Column:
@@ -181,14 +197,15 @@ def boilerplate(docs: DataFrame) -> DataFrame:
 def residue(df: DataFrame, key: str, text: str, url: str, source: str) -> DataFrame:
     """(key, kind) of every record whose residual shows that it has no real content."""
     docs = df.select(F.col(key).alias("doc"), F.col(text).alias("text"), _host(F.col(url), F.col(source)).alias("host")).filter("doc IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sql = f"""
-    SELECT doc, host, text FROM (SELECT *, regexp_replace(text, '\\p{{Cf}}', '', 'g') AS bare FROM t)
-    WHERE regexp_matches(bare, '{SUSPECT.replace("'", "''")}') OR (len(string_split(bare, '。')) > 3 AND 2 * len(list_distinct(string_split(bare, '。'))) <= len(string_split(bare, '。')))"""
-    arrow = pa.schema([("doc", pa.int64()), ("host", pa.string()), ("text", pa.string())])
-    suspects = materialize(map_batches(docs, sql, "doc bigint, host string, text string", arrow))
-    own = _lines(suspects, "doc", "host")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([suspect(x) for x in batch["text"].to_pylist()], pa.bool_()))
+
+    found = materialize(docs.select("doc", "host", "text").mapInArrow(sift, "doc bigint, host string, text string"))
+    own = _lines(found, "doc", "host")
     recurrent = salted_lookup(own, boilerplate(docs), ["host", "line"], [F.col("doc")], "left_semi").groupBy("doc").agg(F.collect_list("position").alias("recurrent"))
-    judged = suspects.select("doc", "text").join(recurrent, "doc", "left")
+    judged = found.select("doc", "text").join(recurrent, "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +49,35 @@ def test_operator(spark):
     assert residue.residue(df.limit(0), "doc_id", "text", "url", "source").count() == 0
 
 
-def test_suspects_lose_nothing(spark, folder):
+SHORT = [
+    "ﾀﾞﾐｰﾃｷｽﾄです。", "ﾒﾝﾃﾅﾝｽ中です。", "この欄はｽｸﾘﾌﾟﾄを有効にしてください。", "Sorry, the page you are looking for has moved.", "Fatal error: out of memory", "PHP Notice: x", "Trace ID: abc9", "URLの入力に誤りはありませんか", "This happens automatically.", "-----------", "ほげほげほげほげ", "よよよよよよ",
+    "お探しのページを表示できません。", "ｴﾗｰが発生しました", "Bad Gateway", "読み込み中", "てすとてすと", "undefinedさん",
+]
+
+
+def test_whatever_is_found_is_a_suspect():
+    assert [x for x in SHORT if not residue.evidence(x, set())] == []
+    rng, every = random.Random(12), [x for own in CASES.values() for x in own] + ARTICLES + SHORT
+    for _ in range(3000):
+        parts = [rng.choice(every) for _ in range(rng.randint(1, 4))]
+        text = rng.choice(["\n", "", "。", "\r\n"]).join(x[rng.randrange(3) :] if rng.random() < 0.3 else x for x in parts)
+        recurrent = {i for i in range(text.count("\n") + 1) if rng.random() < 0.5}
+        if residue.evidence(text, recurrent):
+            assert residue.suspect(text), text
+
+
+def test_guards_lose_no_slot():
+    for text in [x for own in CASES.values() for x in own]:
+        folded = residue.fold(text)
+        assert residue.has_slot(folded) == bool(residue.OPEN_SLOT.search(folded) or residue.EMPTY_VALUE.search(folded))
+
+
+def test_slots_of_boilerplate_are_subtracted():
+    text = "著者は${name}です\n" + ARTICLE
+    assert residue.evidence(text, set()) == "placeholder" and residue.evidence(text, {0}) is None
+
+
+def test_every_record_is_judged(spark, folder):
     found = {r["doc_id"] for r in p8_residue.p8_found(spark, folder).collect()}
     every = read_table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", "text").collect()
     assert found == {r["doc_id"] for r in every if residue.evidence(r["text"], set())}

@@ -7,7 +7,7 @@ from rankloom.functions import scoring
 from rankloom.functions import text as T
 from rankloom.operators import candidates as C
 from rankloom.operators import dedup, gate, prefix, splits, stats, tables
-from rankloom.operators.skew import salted_lookup
+from rankloom.operators.skew import hot_join, salted_lookup
 
 
 def values(spark, column, items, kind="string"):
@@ -138,3 +138,12 @@ def test_command_line(capsys):
     assert main(["list"]) == 0 and "margin_sweep" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["nothing", "x"])
+
+
+def test_hot_join(spark):
+    left = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, None), (1, "x")], "a int, k string")
+    right = spark.createDataFrame([(i, "x") for i in range(25)] + [(50, "y"), (51, None)], "b int, k string")
+    wanted = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    for hot in (3, 1000):
+        assert sorted(map(tuple, hot_join(left, right, ["k"], F.col("b"), hot).select("k", "a", "b").collect())) == wanted
+    assert hot_join(left, right.limit(0), ["k"], F.col("b")).count() == 0

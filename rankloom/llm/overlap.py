@@ -1,39 +1,41 @@
 """Same or nearly same records across splits, by content-defined chunks.
 
-A normalised record is cut after every character whose rolling hash (over ``WINDOW`` characters, one by default) meets
-a mask; the cuts depend on the content alone, so an edit changes few chunks.  With a window of one character an edit
-changes at most two chunks, so of the m chunks of a record of n characters at least m - 2k survive in any record within
-k edits, where k = floor(n / 7) bounds one edit in eight characters of the longer record.
+A normalised record is cut wherever the rolling hash of its last ``WINDOW`` characters meets a mask; the cuts depend on
+the content alone.  An edit changes the hash at WINDOW places, so it changes at most WINDOW + 1 chunks: of the m chunks
+of a record of n characters at least m - (WINDOW + 1) k survive in any record within k edits, where k = floor(n / 7)
+bounds one edit in eight characters of the longer record.
 
-Candidates share a chunk digest (and the group, here the form of the gold).  By the prefix principle it is enough that
-each record offers its first 2k + 1 chunks in one global order; the order is longest chunk first, then by digest, so
-offered chunks are rare ones.  A record with too few chunks for the bound (m <= 2k, such as one character repeated)
-offers single characters as well; two such records then meet on those.  Therefore no pair within the bound is lost.
+Candidates share a chunk digest (and the group, here the form of the gold).  By the prefix principle it is enough that each record offers its first (WINDOW + 1) k + 1 chunks in one global
+order; the order is longest chunk first, then by digest, so offered chunks are rare ones.  A record with too few chunks
+for the bound offers single characters as well; two such records then meet on those.  Therefore no pair within the bound
+is lost.  The exact check of the edits follows.  Chunks that very many records of a group offer are joined by salt.
 
-Records with equal group and text are one class; copies are expanded only in the result.
+``record_fractions`` sums, for every record of one side, the lengths of its chunks that the other side has too.
+
+Records with equal group and text are one class: the joins work on classes, reports on class sizes, and copies are only
+expanded where rows are asked for.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.text import to_hiragana
 from rankloom.llm.lookalike import canonical_ctes, map_batches
-from rankloom.operators.skew import salted_lookup
+from rankloom.operators.skew import hot_join, salted_lookup
 from rankloom.session import materialize
 
-WINDOW = 1
-#: A cut after about every second character.
-MASK = 1
+#: Characters of the rolling window; a cut where the hash meets this mask, so after about every second character.
+WINDOW, MASK = 3, 1
 #: At most one edit in so many characters of the longer record.
 EDITS_IN = 8
 
@@ -80,13 +82,19 @@ def chunks(text: str) -> list[tuple[int, int]]:
 
 
 def offered(text: str) -> list[int]:
-    """Digests of the chunks by which a record is found."""
-    edits = len(text) // (EDITS_IN - 1)
+    """Digests of the chunks by which a record is found; an empty record offers one fixed key."""
+    if not text:
+        return [0]
+    lost = (WINDOW + 1) * (len(text) // (EDITS_IN - 1))
     own = chunks(text)
-    keys = [digest for _, digest in sorted(own, key=lambda x: (-x[0], x[1]))[: 2 * edits + 1]]
-    if len(own) <= 2 * edits:
-        keys += [digest for _, digest in sorted(_tagged(list(text), 2), key=lambda x: x[1])[: 2 * edits + 1]]
-    return keys
+    keys = sorted(own, key=lambda x: (-x[0], x[1]))[: lost + 1]
+    if len(own) <= lost:
+        edits = len(text) // (EDITS_IN - 1)
+        keys += sorted(_tagged(list(text), 2), key=lambda x: x[1])[: edits + 1]
+    return [digest for _, digest in keys]
+
+
+_CHUNK = T.ArrayType(T.StructType([T.StructField("length", T.IntegerType()), T.StructField("chunk", T.LongType())]))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -94,17 +102,9 @@ def offered_udf(values: pd.Series) -> pd.Series:
     return values.map(offered)
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_fraction(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the chunks that two records share, as a part of the longer one; 1 for equal records."""
-
-    def one(a: str, b: str) -> float:
-        if a == b:
-            return 1.0
-        shared = dict.fromkeys(x for x in chunks(b))
-        return sum(length for length, digest in chunks(a) if (length, digest) in shared) / max(len(a), len(b))
-
-    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)])
+@F.pandas_udf(_CHUNK)
+def chunks_udf(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: [{"length": a, "chunk": b} for a, b in chunks(x)])
 
 
 def _shared_groups(sides: list[DataFrame], column: str) -> DataFrame:
@@ -126,31 +126,64 @@ def _records(df: DataFrame, groups: DataFrame, key: str, group: str, reading: st
     return rows.withColumn("class", F.md5(F.concat_ws("\x01", "form", F.col("blank").cast("string"), "body")))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, key: str, group: str, reading: str, context: str) -> DataFrame:
-    """(left_id, right_id, edits, fraction): the pairs of rows of the two tables that are the same or nearly so.
+@dataclass
+class Overlaps:
+    """Rows (id, class) of both sides, their classes (class, form, blank, body), and (a, b, edits) of the classes that meet."""
+
+    left: DataFrame
+    right: DataFrame
+    left_classes: DataFrame
+    right_classes: DataFrame
+    pairs: DataFrame
+
+
+def near_classes(left: DataFrame, right: DataFrame, key: str, group: str, reading: str, context: str) -> Overlaps:
+    """The classes of equal records of the two tables, and which of them are the same or nearly so.
 
     The groups must look the same; reading followed by context, in consistent form, may differ in one character in
     eight of the longer; either both contexts are blank or neither is.  Rows with a null reading or group never count,
-    a null context is blank, repeated rows count each.
+    a null context is blank.
     """
     groups = _shared_groups([left, right], group)
     a, b = (materialize(_records(df, groups, key, group, reading, context)) for df in (left, right))
 
     def classes(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("form", "blank", "body").agg(F.min("class").alias("class"))
+        return rows.groupBy("class").agg(F.first("form").alias("form"), F.first("blank").alias("blank"), F.first("body").alias("body"))
 
     def keys(found: DataFrame, name: str) -> DataFrame:
-        offers = found.select(F.col("class").alias(name), F.hash("form", "blank").alias("scope"), F.length("body").alias(f"{name}_n"), F.explode(offered_udf(F.col("body"))).alias("chunk"))
-        return offers
+        return found.select(F.col("class").alias(name), F.hash("form", "blank").alias("scope"), F.length("body").alias(f"{name}_n"), F.explode(offered_udf(F.col("body"))).alias("chunk"))
 
     ca, cb = classes(a), classes(b)
     longer = F.greatest("a_n", "b_n")
-    met = keys(ca, "a").join(keys(cb, "b"), ["scope", "chunk"]).filter(F.abs(F.col("a_n") - F.col("b_n")) * EDITS_IN <= longer).select("a", "b").distinct()
+    met = hot_join(keys(ca, "a"), keys(cb, "b"), ["scope", "chunk"], F.col("b")).filter(F.abs(F.col("a_n") - F.col("b_n")) * EDITS_IN <= longer).select("a", "b").distinct()
     texts = lambda df, name: df.select(F.col("class").alias(name), F.col("form").alias(f"{name}_form"), F.col("blank").alias(f"{name}_blank"), F.col("body").alias(f"{name}_body"))
     pairs = met.join(texts(ca, "a"), "a").join(texts(cb, "b"), "b").filter("a_form = b_form AND a_blank = b_blank")
     allowed = F.floor(F.greatest(F.length("a_body"), F.length("b_body")) / EDITS_IN).cast("int")
     pairs = pairs.withColumn("edits", F.call_function("levenshtein", F.col("a_body"), F.col("b_body"), allowed)).filter("edits >= 0")
-    pairs = pairs.select("a", "b", "edits", overlap_fraction(F.col("a_body"), F.col("b_body")).alias("fraction"))
-    left_rows = a.select(F.col("id").alias("left_id"), F.col("class").alias("a"))
-    right_rows = b.select(F.col("id").alias("right_id"), F.col("class").alias("b"))
-    return pairs.join(left_rows, "a").join(right_rows, "b").select("left_id", "right_id", "edits", "fraction")
+    return Overlaps(a.select("id", "class"), b.select("id", "class"), ca, cb, pairs.select("a", "b", "edits"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, key: str, group: str, reading: str, context: str) -> DataFrame:
+    """(left_id, right_id, edits): the rows of ``near_classes``; repeated rows count each."""
+    found = near_classes(left, right, key, group, reading, context)
+    left_rows = found.left.select(F.col("id").alias("left_id"), F.col("class").alias("a"))
+    right_rows = found.right.select(F.col("id").alias("right_id"), F.col("class").alias("b"))
+    return found.pairs.join(left_rows, "a").join(right_rows, "b").select("left_id", "right_id", "edits")
+
+
+def record_fractions(found: Overlaps) -> DataFrame:
+    """(class, fraction) of the left classes: the summed length of their chunks that the right side has in the same group.
+
+    The chunks of the right side are distinct before the join, so a chunk of every record costs one row; a record
+    without characters that meets one like it has the fraction 1.
+    """
+
+    def exploded(classes: DataFrame) -> DataFrame:
+        return classes.select("class", "form", "blank", F.length("body").alias("n"), F.explode(chunks_udf(F.col("body"))).alias("c")).select("class", "form", "blank", "n", "c.length", "c.chunk")
+
+    there = exploded(found.right_classes).select("form", "blank", "chunk").distinct()
+    shared = salted_lookup(exploded(found.left_classes), there, ["form", "blank", "chunk"], [F.col("class")], "left_semi")
+    sums = shared.groupBy("class").agg((F.sum("length") / F.first("n")).alias("fraction"))
+    empty = found.right_classes.filter("body = ''").select("form", "blank").distinct().withColumn("met", F.lit(1.0))
+    every = found.left_classes.select("class", "form", "blank", "body").join(sums, "class", "left").join(empty, ["form", "blank"], "left")
+    return every.select("class", F.when(F.col("body") == "", F.coalesce("met", F.lit(0.0))).otherwise(F.coalesce("fraction", F.lit(0.0))).alias("fraction"))

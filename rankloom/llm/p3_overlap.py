@@ -6,27 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import overlap
+from rankloom.operators.skew import salted_lookup
 from rankloom.session import materialize, read_table
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap.near_pairs(read_table(spark, folder, "holdout"), read_table(spark, folder, "train"), "row_id", "gold", "reading", "context_prev")
+_COLUMNS = ("row_id", "gold", "reading", "context_prev")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """(holdout_id, train_id) of every overlap between the evaluation splits and the training split."""
-    return _pairs(spark, folder).select(F.col("left_id").alias("holdout_id"), F.col("right_id").alias("train_id"))
+    pairs = overlap.near_pairs(read_table(spark, folder, "holdout"), read_table(spark, folder, "train"), *_COLUMNS)
+    return pairs.select(F.col("left_id").alias("holdout_id"), F.col("right_id").alias("train_id"))
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlaps counted by split and training source, with how much of the records is shared."""
-    pairs = materialize(_pairs(spark, folder))
-    splits = read_table(spark, folder, "holdout").select(F.col("row_id").alias("left_id"), "split_name")
-    sources = read_table(spark, folder, "train").select(F.col("row_id").alias("right_id"), F.col("source").alias("train_source"))
-    return pairs.join(splits, "left_id").join(sources, "right_id").groupBy("split_name", "train_source").agg(
-        F.count("*").alias("pairs"), F.count_if(F.col("edits") == 0).alias("same_pairs"), F.countDistinct("left_id").alias("holdout_rows"), F.round(F.avg("fraction"), 6).alias("mean_fraction")
+    """Overlaps counted by split and training source, and the mean part of the overlapping records' chunks that train has.
+
+    Counted from classes and their sizes; no pair of rows is formed.
+    """
+    holdout, train = read_table(spark, folder, "holdout"), read_table(spark, folder, "train")
+    found = overlap.near_classes(holdout, train, *_COLUMNS)
+    pairs = materialize(found.pairs)
+    splits = found.left.join(holdout.select(F.col("row_id").alias("id"), "split_name"), "id").groupBy("class", "split_name").agg(F.count("*").alias("holdout"))
+    sources = found.right.join(train.select(F.col("row_id").alias("id"), F.col("source").alias("train_source")), "id").groupBy("class", "train_source").agg(F.count("*").alias("train"))
+    met = pairs.join(sources.withColumnRenamed("class", "b"), "b").groupBy("a", "train_source").agg(F.sum("train").alias("train"), F.sum(F.when(F.col("edits") == 0, F.col("train")).otherwise(0)).alias("same"))
+    each = met.join(splits.withColumnRenamed("class", "a"), "a").join(overlap.record_fractions(found).withColumnRenamed("class", "a"), "a")
+    return each.groupBy("split_name", "train_source").agg(
+        F.sum(F.col("holdout") * F.col("train")).alias("pairs"), F.sum(F.col("holdout") * F.col("same")).alias("same_pairs"), F.sum("holdout").alias("holdout_rows"),
+        F.round(F.sum(F.col("fraction") * F.col("holdout")) / F.sum("holdout"), 6).alias("mean_fraction"),
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+def p3_fractions(spark: SparkSession, folder: str) -> DataFrame:
+    """(holdout_id, fraction): how much of each holdout row whose gold train has, by length of its chunks, is in train."""
+    found = overlap.near_classes(read_table(spark, folder, "holdout"), read_table(spark, folder, "train"), *_COLUMNS)
+    return salted_lookup(found.left, overlap.record_fractions(found), ["class"], [F.col("id")]).select(F.col("id").alias("holdout_id"), F.round("fraction", 6).alias("fraction"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_fractions": p3_fractions}
 SQL: dict[str, str] = {}

@@ -1,7 +1,10 @@
 import random
 import unicodedata
 
-from rankloom.llm import overlap
+from pyspark.sql import functions as F
+
+from rankloom.llm import overlap, p3_overlap
+from rankloom.session import read_table
 
 
 def distance(a, b):
@@ -76,4 +79,33 @@ def test_chunks_follow_content():
     assert sum(overlap.chunk_lengths(text)) == len(text)
     assert sum(overlap.chunk_lengths(text, window=4, mask=7)) == len(text)
     shared = set(overlap.chunks(text)) & set(overlap.chunks("前置き" + text))
-    assert sum(n for n, _ in shared) >= len(text) - 6
+    assert sum(n for n, _ in shared) >= len(text) - 2 * overlap.WINDOW - 4
+
+
+def test_an_edit_changes_few_chunks():
+    rng = random.Random(3)
+    for _ in range(400):
+        text = "".join(rng.choice("あいうえおかきくけこ漢字文章、") for _ in range(rng.randint(1, 60)))
+        edits = rng.randint(1, 3)
+        other = edited(rng, text, edits)
+        kept = {x[1] for x in overlap.chunks(text)} & {x[1] for x in overlap.chunks(other)}
+        assert len(kept) >= len(overlap.chunks(text)) - (overlap.WINDOW + 1) * edits
+
+
+def test_record_fractions(spark):
+    left = [(1, "g", "よみ", "同じ文脈の例文です"), (2, "g", "よみ", "似た所のない別の行"), (3, "h", "", ""), (4, "g", "・", None), (5, "h", "・", "")]
+    right = [(11, "g", "よみ", "同じ文脈の例文です"), (12, "h", "　", ""), (13, "g", "ヨミ", "同じ文脈の例文です")]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    found = overlap.near_classes(a, b, "id", "gold", "reading", "context")
+    rows = {r["id"]: r["fraction"] for r in found.left.join(overlap.record_fractions(found), "class").collect()}
+    assert rows[1] == 1.0 and rows[2] < 1.0 and rows[3] == rows[5] == 1.0 and rows[4] == 0.0
+    assert sorted(tuple(r) for r in overlap.near_pairs(a, b, "id", "gold", "reading", "context").collect()) == [(1, 11, 0), (1, 13, 0), (3, 12, 0), (5, 12, 0)]
+
+
+def test_report_equals_the_rows(spark, folder):
+    counts = {(r["split_name"], r["train_source"]): (r["pairs"], r["holdout_rows"]) for r in p3_overlap.p3_report(spark, folder).collect()}
+    pairs = p3_overlap.p3_found(spark, folder)
+    pairs = pairs.join(read_table(spark, folder, "holdout").select(F.col("row_id").alias("holdout_id"), "split_name"), "holdout_id").join(read_table(spark, folder, "train").select(F.col("row_id").alias("train_id"), F.col("source").alias("train_source")), "train_id")
+    rows = pairs.groupBy("split_name", "train_source").agg(F.count("*").alias("n"), F.countDistinct("holdout_id").alias("h")).collect()
+    assert counts == {(r["split_name"], r["train_source"]): (r["n"], r["h"]) for r in rows}
+    assert counts or folder.endswith("0.001")

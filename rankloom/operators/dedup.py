@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.prefix import running_total
+from rankloom.operators.prefix import buckets_for, running_total
 
 
 def wins(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
@@ -31,6 +33,10 @@ def sha_order(column: str, seed: int) -> Column:
 
 
 def hash_rank(df: DataFrame, groups: list[str], key: str, seed: int, out: str = "hash_rank") -> DataFrame:
-    """The place (from 0) of every row in hash order within its group, by running totals over 4096 hash buckets."""
-    hashed = df.withColumn("_sha", sha_order(key, seed)).withColumn("_one", F.lit(1)).withColumn("_b", F.conv(F.substring("_sha", 1, 3), 16, 10).cast("int"))
+    """The place (from 0) of every row in hash order within its group, by running totals over hash buckets.
+
+    The rows are counted first, so that a bucket holds a bounded number of them at every size.
+    """
+    digits = max(1, math.ceil(math.log(buckets_for(df.count()), 16)))
+    hashed = df.withColumn("_sha", sha_order(key, seed)).withColumn("_one", F.lit(1)).withColumn("_b", F.conv(F.substring("_sha", 1, min(digits, 12)), 16, 10).cast("bigint"))
     return running_total(hashed, groups, "_b", [F.col("_sha"), F.col(key)], "_one", out).drop("_sha", "_one", "_b")

@@ -11,15 +11,17 @@ from rankloom.session import materialize
 HOT = 20_000
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[Column], how: str = "inner", salts: int = 8, null_safe: bool = False) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[Column], how: str = "inner", salts: int = 8, null_safe: bool = False, hint: str | None = None) -> DataFrame:
     """Join many rows with a table that has at most one row for each key.
 
     Each row goes to one of ``salts`` tasks of its key by a hash of ``spread``; the lookup is repeated that often.  No
-    row is copied on the large side.  Columns of the lookup beside the keys are appended.
+    row is copied on the large side.  Columns of the lookup beside the keys are appended.  ``hint`` names the join
+    strategy, such as "merge" where the lookup grows with the data and must not be broadcast.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt).alias("l")
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("r")
+    right = right.hint(hint) if hint else right
     if not null_safe:
         return left.join(right, [*keys, "_salt"], how).drop("_salt")
     condition = F.col("l._salt") == F.col("r._salt")

@@ -58,7 +58,17 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(target)
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(target)
+    table = spark.read.schema(df.schema).parquet(target)
+    table._rankloom_table = target
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    spark, target = table.sparkSession, getattr(table, "_rankloom_table", None)
+    if target:
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()

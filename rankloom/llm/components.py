@@ -10,56 +10,77 @@ The graph is bipartite: sources on one side, readings on the other, one edge for
   the readings they share is the next level's graph, at most half as large; once it has few enough edges (``SMALL``,
   checked) it is merged by union-find in one task, else the level repeats on it.
 
-Nothing of all rows reaches the driver, only counts.
+Nothing of all rows reaches the driver, only counts, and no table that grows with the rows is broadcast: the joins are
+hinted to merge.  What a level has replaced is deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.prefix import hash_bucket, running_total
+from rankloom.operators.prefix import buckets_for, hash_bucket, running_total
 from rankloom.operators.skew import salted_lookup
-from rankloom.session import materialize
+from rankloom.session import discard, materialize
 
 #: Most edges of a seed graph that one task merges.
 SMALL = 400_000
+#: Rounds after which the tables of a search are written as one.
+ROUNDS = 8
 #: A group of this share of all rows or more is placed before the others.
 LARGE_GROUP = 0.01
 
 
+def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, how: str = "inner", null_safe: bool = False) -> DataFrame:
+    return salted_lookup(rows, table, keys, [F.col(spread)], how, null_safe=null_safe, hint="merge")
+
+
 def shared_only(edges: DataFrame) -> DataFrame:
     """The edges of readings with two or more sources; the others link nothing."""
     shared = edges.groupBy("r").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("r")
-    return salted_lookup(edges, shared, ["r"], [F.col("s")], "left_semi")
+    return _lookup(edges, shared, ["r"], "s", "left_semi")
 
 
 def find_seeds(edges: DataFrame) -> DataFrame:
     """(s, label): the sources that are the smallest within two hops."""
     low = edges.groupBy("r").agg(F.min("s").alias("m"))
-    near = salted_lookup(edges, low, ["r"], [F.col("s")]).groupBy("s").agg(F.min("m").alias("m"))
+    near = _lookup(edges, low, ["r"], "s").groupBy("s").agg(F.min("m").alias("m"))
     return near.filter("m = s").select("s", F.col("s").alias("label"))
 
 
 def expand(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(s, label): every source with the seed whose search reached it first, the smallest of those of one round."""
+    """(s, label): every source with the seed whose search reached it first, the smallest of those of one round.
+
+    Each round writes its new sources only; the rounds are written as one table now and then, and at the end.
+    """
     frontier = materialize(seeds)
-    visited = frontier
+    rounds = [frontier]
     total = edges.select("s").distinct().count()
     reached = frontier.count()
     while reached < total:
-        readings = salted_lookup(edges, frontier, ["s"], [F.col("r")]).groupBy("r").agg(F.min("label").alias("label"))
-        sources = salted_lookup(edges, readings, ["r"], [F.col("s")]).groupBy("s").agg(F.min("label").alias("label"))
-        frontier = materialize(sources.join(visited.select("s"), "s", "left_anti"))
+        readings = _lookup(edges, frontier, ["s"], "r").groupBy("r").agg(F.min("label").alias("label"))
+        sources = _lookup(edges, readings, ["r"], "s").groupBy("s").agg(F.min("label").alias("label"))
+        visited = reduce(DataFrame.unionByName, rounds)
+        frontier = materialize(sources.join(visited.select("s").hint("merge"), "s", "left_anti"))
         found = frontier.count()
         if not found:
             break
         reached += found
-        visited = materialize(visited.unionByName(frontier))
-    return visited
+        rounds.append(frontier)
+        if len(rounds) > ROUNDS:
+            rounds = [_as_one(rounds[:-1]), frontier]
+    return _as_one(rounds) if len(rounds) > 1 else frontier
+
+
+def _as_one(tables: list[DataFrame]) -> DataFrame:
+    whole = materialize(reduce(DataFrame.unionByName, tables))
+    for table in tables:
+        discard(table)
+    return whole
 
 
 def merge_small(edges: DataFrame) -> DataFrame:
@@ -98,14 +119,18 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
             break
         labels = expand(current, find_seeds(current))
         maps.append(labels)
-        merged = salted_lookup(current, labels, ["s"], [F.col("r")]).select(F.col("label").alias("s"), "r").distinct()
-        current = materialize(shared_only(merged))
+        merged = _lookup(current, labels, ["s"], "r").select(F.col("label").alias("s"), "r").distinct()
+        before, current = current, materialize(shared_only(merged))
+        discard(before)
         size = current.count()
     roots = edges.select("s").distinct().withColumn("root", F.col("s"))
     for labels in maps:
         named = labels.select(F.col("s").alias("root"), "label")
-        roots = salted_lookup(roots, named, ["root"], [F.col("s")], "left").select("s", F.coalesce("label", "root").alias("root"))
-    return materialize(roots)
+        roots = _lookup(roots, named, ["root"], "s", "left").select("s", F.coalesce("label", "root").alias("root"))
+    whole = materialize(roots)
+    for table in [current, *maps]:
+        discard(table)
+    return whole
 
 
 def keyed_pairs(df: DataFrame, source: str, reading: str, source_norm, reading_norm) -> DataFrame:
@@ -130,12 +155,12 @@ def edges_of(pairs: DataFrame) -> DataFrame:
 def source_groups(pairs: DataFrame) -> DataFrame:
     """(source_key, group_key) for the groups of two or more sources; group_key is the smallest of the group."""
     sources = pairs.filter("s IS NOT NULL").groupBy("s").agg(F.min("source_key").alias("source_key"))
-    rooted = materialize(sources.join(components(edges_of(pairs)), "s").select("source_key", "root"))
+    rooted = materialize(sources.join(components(edges_of(pairs)).hint("merge"), "s").select("source_key", "root"))
     groups = rooted.groupBy("root").agg(F.min("source_key").alias("group_key"), F.max("source_key").alias("_last")).filter("group_key <> _last").select("root", "group_key")
-    return salted_lookup(rooted, groups, ["root"], [F.col("source_key")]).select("source_key", "group_key")
+    return _lookup(rooted, groups, ["root"], "source_key").select("source_key", "group_key")
 
 
-def split_rows(df: DataFrame, pairs: DataFrame, key: str, source: str, reading: str, shares: dict[str, float], seed: int = 11, buckets: int = 1024) -> DataFrame:
+def split_rows(df: DataFrame, pairs: DataFrame, key: str, source: str, reading: str, shares: dict[str, float], seed: int = 11) -> DataFrame:
     """(key, component, split): all rows of a group in one split, near the given shares.
 
     Groups of ``LARGE_GROUP`` of the rows or more (at most 1 / LARGE_GROUP of them) are placed first, largest first,
@@ -143,8 +168,8 @@ def split_rows(df: DataFrame, pairs: DataFrame, key: str, source: str, reading:
     The rows of a source without any reading are one group; a row with neither source nor reading is a group of its own.
     """
     roots = components(edges_of(pairs))
-    by_reading = pairs.filter("r IS NOT NULL AND s IS NOT NULL").select("s", "r").distinct().join(roots, "s").groupBy("r").agg(F.min("root").alias("reading_root"))
-    known = pairs.join(roots, "s", "left").join(by_reading, "r", "left").select("source", "reading", "n", F.coalesce("root", "reading_root", "s", "r").alias("component"))
+    by_reading = pairs.filter("r IS NOT NULL AND s IS NOT NULL").select("s", "r").distinct().join(roots.hint("merge"), "s").groupBy("r").agg(F.min("root").alias("reading_root"))
+    known = pairs.join(roots.hint("merge"), "s", "left").join(by_reading.hint("merge"), "r", "left").select("source", "reading", "n", F.coalesce("root", "reading_root", "s", "r").alias("component"))
     known = materialize(known)
     lone = df.filter(F.col(source).isNull() & F.col(reading).isNull())
     sizes = known.filter("component IS NOT NULL").groupBy("component").agg(F.sum("n").alias("n")).unionByName(lone.select(F.xxhash64(F.lit("row"), key).alias("component"), F.lit(1).cast("bigint").alias("n"))).groupBy("component").agg(F.sum("n").alias("n"))
@@ -157,7 +182,8 @@ def split_rows(df: DataFrame, pairs: DataFrame, key: str, source: str, reading:
         name = max(room, key=lambda x: (room[x], x))
         room[name] -= row["n"]
         placed.append((row["component"], name))
-    rest = sizes.filter(F.col("n") < limit).withColumn("_bucket", hash_bucket(buckets, seed, F.col("component"))).withColumn("_h", F.xxhash64(F.lit(seed), "component"))
+    rest = sizes.filter(F.col("n") < limit)
+    rest = rest.withColumn("_bucket", hash_bucket(buckets_for(rest.count()), seed, F.col("component"))).withColumn("_h", F.xxhash64(F.lit(seed), "component"))
     ranked = running_total(rest, [], "_bucket", [F.col("_h"), F.col("component")], "n", "_start")
     open_room = {name: max(0.0, x) for name, x in room.items()}
     scale = sum(open_room.values()) or 1.0
@@ -173,6 +199,6 @@ def split_rows(df: DataFrame, pairs: DataFrame, key: str, source: str, reading:
     chosen = materialize(chosen)
     lookup = known.select("source", "reading", "component")
     rows = df.select(key, F.col(source).alias("source"), F.col(reading).alias("reading"))
-    named = salted_lookup(rows, lookup, ["source", "reading"], [F.col(key)], "left", null_safe=True)
+    named = _lookup(rows, lookup, ["source", "reading"], key, "left", null_safe=True)
     named = named.select(key, F.coalesce("component", F.xxhash64(F.lit("row"), key)).alias("component"))
-    return salted_lookup(named, chosen, ["component"], [F.col(key)], "left").select(key, "component", "split")
+    return _lookup(named, chosen, ["component"], key, "left").select(key, "component", "split")

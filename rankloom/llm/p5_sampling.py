@@ -23,9 +23,10 @@ def _flag(column: str) -> object:
 
 
 def _sample(spark: SparkSession, folder: str, quotas: DataFrame) -> DataFrame:
-    rows = read_table(spark, folder, "train").select("row_id", *CELLS)
-    sample = materialize(sampling.systematic_sample(rows, quotas, "row_id", "set_id", CELLS))
-    return sampling.repair_floors(sample, rows, quotas, "row_id", "set_id", CELLS)
+    total = quotas.agg(F.max("total_rows")).first()[0] or 0
+    ranked = materialize(sampling.rank_rows(read_table(spark, folder, "train").select("row_id", *CELLS), "row_id", CELLS, total))
+    sample = materialize(sampling.systematic_sample(ranked, quotas, "row_id", "set_id", CELLS))
+    return sampling.repair_floors(sample, ranked, quotas, "row_id", "set_id", CELLS)
 
 
 def _report(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,5 +63,8 @@ _CELLS_SQL = """
         FROM sample_target t LEFT JOIN counts c ON c.context_sensitive = coalesce(t.context_sensitive, false) AND c.gold_in_nbest = coalesce(t.gold_in_nbest, false))"""
 
 SQL = {
+    "p5_report": f"""{_CELLS_SQL}, drawn AS (SELECT *, least(ceil(wanted), cell_rows)::BIGINT AS quota FROM quotas)
+    SELECT set_id::BIGINT AS set_id, context_sensitive::VARCHAR AS context_sensitive, gold_in_nbest::VARCHAR AS gold_in_nbest, cell_rows, target_share, round(wanted, 6) AS wanted, quota, cell_rows < wanted AS short, quota AS drawn,
+    round(quota / sum(quota) OVER (PARTITION BY set_id), 6) AS actual_share FROM drawn""",
     "p5_found": f"{_CELLS_SQL} SELECT set_id::BIGINT AS set_id, context_sensitive::VARCHAR AS context_sensitive, gold_in_nbest::VARCHAR AS gold_in_nbest FROM quotas WHERE cell_rows < wanted",
 }

@@ -4,7 +4,7 @@ Rows are ordered by cell and, within a cell, at random (by a hash of the row key
 inclusion probability (target rows of the cell) / (rows of the cell); the prefix sums of these probabilities run
 across all cells and partitions, and a row is taken where its interval crosses a whole number, counted from one random
 start.  Each cell so gets its target rounded up or down.  Then floors are repaired: cells below the larger of the
-minimum and the rounded-up target get the passed-over rows with the smallest hashes.
+minimum and the rounded-up target get the passed-over rows that come first in the random order.
 
 Defined results: a null flag counts as false; rows with a null key are not drawn; repeated rows count each; a cell with
 fewer rows than wanted is taken whole and reported; an empty table gives an empty sample and reports every cell.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.prefix import hash_bucket
+from rankloom.operators.prefix import buckets_for, hash_bucket, running_total
 
 
 def cell_quotas(df: DataFrame, targets: DataFrame, set_column: str, cells: list[str], share: str, fraction: str, floor: str) -> DataFrame:
@@ -38,45 +38,46 @@ def cell_quotas(df: DataFrame, targets: DataFrame, set_column: str, cells: list[
     )
 
 
-def systematic_sample(df: DataFrame, quotas: DataFrame, key: str, set_column: str, cells: list[str], seed: int = 17, buckets: int = 512) -> DataFrame:
-    """(set, key, cells..., hash): the sample of each set.
+def rank_rows(df: DataFrame, key: str, cells: list[str], rows: int, seed: int = 17) -> DataFrame:
+    """(key, cells..., sample_hash, rank): the random order of every cell, ranks from 1; ``rows`` is about their number.
 
-    ``quotas`` is the small result of ``cell_quotas``.  The bucket totals are counts of (cell, hash bucket), so the
-    only shuffle of rows is the one that ranks a bucket; the sets share it.
+    The only shuffle of rows is the one that ranks a hash bucket; the bucket totals are counts of (cell, bucket).
     """
-    rows = df.select(key, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in cells]).filter(F.col(key).isNotNull())
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_bucket", hash_bucket(buckets, seed, F.col(key)))
-    totals = rows.groupBy(*cells, "_bucket").agg(F.count("*").alias("_n"))
-    order_before = W.partitionBy(*cells).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(order_before), F.lit(0)))  # a row for each cell and bucket
-    inside = W.partitionBy(*cells, "_bucket").orderBy("_h", key)
-    ranked = rows.withColumn("_inside", F.row_number().over(inside)).join(offsets.select(*cells, "_bucket", "_before"), [*cells, "_bucket"])
-    ranked = ranked.select(key, *cells, "_h", (F.col("_before") + F.col("_inside")).alias("_rank"))
+    each = df.select(key, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in cells]).filter(F.col(key).isNotNull())
+    each = each.withColumn("sample_hash", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_bucket", hash_bucket(buckets_for(rows), seed, F.col(key))).withColumn("_one", F.lit(1))
+    ranked = running_total(each, cells, "_bucket", [F.col("sample_hash"), F.col(key)], "_one", "_before")
+    return ranked.select(key, *cells, "sample_hash", (F.col("_before") + 1).alias("rank"))
+
+
+def systematic_sample(ranked: DataFrame, quotas: DataFrame, key: str, set_column: str, cells: list[str], seed: int = 17) -> DataFrame:
+    """(set, key, cells..., sample_hash): the sample of each set from ``rank_rows`` and the small result of ``cell_quotas``."""
     # Where the intervals of a cell begin: running totals of the quotas in cell order, from one random start.
     chain = W.partitionBy(set_column).orderBy(*cells).rowsBetween(W.unboundedPreceding, -1)
     start = F.pmod(F.xxhash64(F.lit(seed), F.col(set_column)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     plan = quotas.filter("rate_rows > 0").withColumn("_base", F.coalesce(F.sum("rate_rows").over(chain), F.lit(0.0)) + start)
     joined = ranked.join(F.broadcast(plan), cells)  # the plan has one row for each target, a documented small table
     step = F.col("rate_rows") / F.col("cell_rows")
-    high, low = F.floor(F.col("_base") + step * F.col("_rank")), F.floor(F.col("_base") + step * (F.col("_rank") - 1))
-    return joined.filter(high > low).select(set_column, key, *cells, F.col("_h").alias("sample_hash"))
+    high, low = F.floor(F.col("_base") + step * F.col("rank")), F.floor(F.col("_base") + step * (F.col("rank") - 1))
+    return joined.filter(high > low).select(set_column, key, *cells, "sample_hash")
 
 
-def repair_floors(sample: DataFrame, df: DataFrame, quotas: DataFrame, key: str, set_column: str, cells: list[str], seed: int = 17) -> DataFrame:
-    """Fill the cells below their quota with the passed-over rows of smallest hash.
+def repair_floors(sample: DataFrame, ranked: DataFrame, quotas: DataFrame, key: str, set_column: str, cells: list[str]) -> DataFrame:
+    """Fill the cells below their quota with the passed-over rows that come first in the random order.
 
-    The gaps are a row for each target and come to the driver; the largest bounds the top-k of each cell, so every
-    task keeps only that many rows of a cell before the shuffle.
+    The gaps are a row for each target and come to the driver.  A cell sampled at the rate s has at least g passed-over
+    rows among its first (g + 2) / (1 - s), so no other rows are looked at.
     """
-    spark = df.sparkSession
+    spark = sample.sparkSession
     got = sample.groupBy(set_column, *cells).agg(F.count("*").alias("_got"))
-    gaps = quotas.join(got, [set_column, *cells], "left").withColumn("_gap", F.col("quota") - F.coalesce("_got", F.lit(0))).filter("_gap > 0").select(set_column, *cells, "_gap")
+    gap = F.col("quota") - F.coalesce("_got", F.lit(0))
+    rate = F.col("rate_rows") / F.col("cell_rows")
+    last = F.when(rate < 1, F.least("cell_rows", F.ceil((gap + 2) / (1 - rate)))).otherwise(F.col("cell_rows")).cast("bigint")
+    gaps = quotas.join(got, [set_column, *cells], "left").filter(gap > 0).select(set_column, *cells, gap.alias("_gap"), last.alias("_last"))
     found = gaps.collect()
     if not found:
         return sample
     small = F.broadcast(spark.createDataFrame(found, gaps.schema))  # at most one row for each target
-    rows = df.select(key, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in cells]).filter(F.col(key).isNotNull()).withColumn("sample_hash", F.xxhash64(F.lit(seed), F.col(key)))
-    passed = rows.join(small, cells).join(sample.select(set_column, key), [set_column, key], "left_anti")
-    first = W.partitionBy(set_column, *cells).orderBy("sample_hash", key)
+    passed = ranked.join(small, cells).filter(F.col("rank") <= F.col("_last")).join(sample.select(set_column, key), [set_column, key], "left_anti")
+    first = W.partitionBy(set_column, *cells).orderBy("rank")
     fill = passed.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max(x["_gap"] for x in found)).filter(F.col("_r") <= F.col("_gap"))
     return sample.unionByName(fill.select(set_column, key, *cells, "sample_hash"))

@@ -10,8 +10,9 @@ def run(spark, rows, targets):
     df = spark.createDataFrame(rows, "id bigint, a boolean, b boolean").withColumn("quota", F.lit(1)).withColumn("_h", F.lit(0))
     goal = spark.createDataFrame(targets, "set_id int, a boolean, b boolean, share double, fraction double, least int")
     quotas = materialize(sampling.cell_quotas(df, goal, "set_id", CELLS, "share", "fraction", "least"))
-    sample = materialize(sampling.systematic_sample(df, quotas, "id", "set_id", CELLS))
-    return quotas, sampling.repair_floors(sample, df, quotas, "id", "set_id", CELLS).collect()
+    ranked = materialize(sampling.rank_rows(df, "id", CELLS, 200_000))
+    sample = materialize(sampling.systematic_sample(ranked, quotas, "id", "set_id", CELLS))
+    return quotas, sampling.repair_floors(sample, ranked, quotas, "id", "set_id", CELLS).collect()
 
 
 def test_shares_floors_and_report(spark):

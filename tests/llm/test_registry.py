@@ -1,9 +1,12 @@
 import re
 
 import pytest
+from oracle import check, connect
 
 from rankloom.llm import registry
 
+SQL = registry.oracle_sql()
+
 
 def test_names():
     names = registry.queries()
@@ -22,3 +25,9 @@ def test_columns_and_distinct_rows(spark, folder, name, columns):
     found = registry.queries()[name](spark, folder)
     assert [(c, t) for c, t in found.dtypes] == [tuple(x.split()) for x in columns.split(", ")]
     assert found.count() == found.distinct().count()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    check(spark, connect(folder), folder, registry.queries()[name], SQL[name])

@@ -51,3 +51,34 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     before = W.partitionBy(key).orderBy("sent_id").rowsBetween(W.unboundedPreceding, -1)
     size = F.length("sentence")
     return each.select(key, "sent_id", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint").alias("char_begin"), size.alias("length"))
+
+
+# First levels of parts of speech that carry content; numbers in any script; what makes a token an address.
+CONTENT = ("名詞", "動詞", "形容詞", "形状詞", "副詞", "連体詞")
+DIGITS_ONLY = r"[0-9０-９一二三四五六七八九十百千万億兆.,．]+"
+ADDRESS = r"https?://|www\.|@"
+
+#: A run of one script, or a single character.
+TOKEN = "[一-鿿々〆ヶ]+|[ァ-ヺー]+|[ぁ-ゖ][ぁ-ゖー]*|[A-Za-zＡ-Ｚａ-ｚ]+|[0-9０-９.,．，]*[0-9０-９][0-9０-９.,．，]*|[ \t\r\n　]+|(?s:.)"
+
+
+def content_token(pos: Column, surface: Column) -> Column:
+    """Whether a token carries content: its part of speech does, and it is neither a number (in any script) nor an address."""
+    text = F.coalesce(surface, F.lit(""))
+    return F.coalesce(F.get(pos, F.lit(0)).isin(*CONTENT), F.lit(False)) & ~text.rlike(f"^(?:{DIGITS_ONLY})$") & ~text.rlike(ADDRESS)
+
+
+def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, position, sent_id, char_begin, token, pos): the tokens of every text, cut where the script changes.
+
+    A stand-in for an analyser, which takes its place with the same columns: ideographs, katakana, letters and numbers
+    count as nouns, hiragana as particles, the rest as symbols.  Offsets and sentence numbers are running sums over the
+    tokens of one text.  Null texts have no tokens.
+    """
+    each = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("position", "token"))
+    before = W.partitionBy(key).orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    ended = F.col("token").isin("。", "！", "？", "!", "?").cast("int")
+    noun = F.col("token").rlike("^(?:[一-鿿々〆ヶ]+|[ァ-ヺー]+|[A-Za-zＡ-Ｚａ-ｚ]+|[0-9０-９.,．，]*[0-9０-９][0-9０-９.,．，]*)$")
+    pos = F.when(noun, "名詞").when(F.col("token").rlike("^[ぁ-ゖ][ぁ-ゖー]*$"), "助詞").otherwise("補助記号")
+    run = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint")
+    return each.select(key, "position", run(ended).alias("sent_id"), run(F.length("token")).alias("char_begin"), "token", pos.alias("pos"))

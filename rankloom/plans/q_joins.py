@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
@@ -101,10 +101,15 @@ def key_target_counts(spark: SparkSession, folder: str) -> DataFrame:
     return target_counts(spark, folder)
 
 
-@query(f"WITH {COUNTS_SQL} SELECT reading, count(*) AS targets, max(n) AS most FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE n >= 3) >= 2")
+#: A target of a key is well supported when this many rows have it.
+STRONG = 5
+AMBIGUOUS_SQL = f"SELECT reading, count(*) AS targets, max(n) AS most, count(*) FILTER (WHERE n >= {STRONG}) AS strong FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE n >= {STRONG}) >= 2"
+
+
+@query(f"WITH {COUNTS_SQL} {AMBIGUOUS_SQL}")
 def ambiguous_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Keys with two or more well supported targets."""
-    return target_counts(spark, folder).groupBy("reading").agg(F.count("*").alias("targets"), F.max("n").alias("most"), F.count_if(F.col("n") >= 3).alias("_s")).filter("_s >= 2").drop("_s")
+    return target_counts(spark, folder).groupBy("reading").agg(F.count("*").alias("targets"), F.max("n").alias("most"), F.count_if(F.col("n") >= STRONG).alias("strong")).filter("strong >= 2")
 
 
 CS_SQL = f"""q AS (SELECT reading, gold, count(*) AS n FROM train WHERE reading <> '' AND gold <> '' AND {S.clean_context('context_prev')} <> '' GROUP BY 1, 2),
@@ -112,14 +117,24 @@ CS_SQL = f"""q AS (SELECT reading, gold, count(*) AS n FROM train WHERE reading
     keys AS (SELECT * FROM cs WHERE total >= 8 AND top_share < 0.70 AND kanji_targets >= 2)"""
 
 
-def sensitive_keys(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "train").select("reading", "gold", "context_prev").filter("reading <> '' AND gold <> ''").filter(T.clean_context(F.col("context_prev")) != "")
-    counts = rows.groupBy("reading", "gold").agg(F.count("*").alias("n"))
+def sensitive(rows: DataFrame, content: Column | None = None) -> DataFrame:
+    """(reading, total, top_share, kanji_targets) of the keys whose target depends on the context.
+
+    Rows need a context that is not blank after cleaning and, where they carry parts of speech, one that holds content;
+    ``content`` says so for rows that carry them.
+    """
+    kept = rows.filter("reading <> '' AND gold <> ''").filter(T.clean_context(F.col("context_prev")) != "")
+    kept = kept if content is None else kept.filter(content)
+    counts = kept.groupBy("reading", "gold").agg(F.count("*").alias("n"))
     kanji = (F.col("n") >= 3) & (F.col("gold") != F.col("reading")) & T.has_kanji(F.col("gold"))
     keys = counts.groupBy("reading").agg(F.sum("n").alias("total"), F.round(F.max("n") / F.sum("n"), 6).alias("top_share"), F.count_if(kanji).alias("kanji_targets"))
     return keys.filter("total >= 8 AND top_share < 0.70 AND kanji_targets >= 2")
 
 
+def sensitive_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return sensitive(read(spark, folder, "train").select("reading", "gold", "context_prev"))
+
+
 @query(f"WITH {CS_SQL} SELECT * FROM keys")
 def cs_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Keys whose target depends on the context."""
@@ -129,7 +144,10 @@ def cs_keys(spark: SparkSession, folder: str) -> DataFrame:
 SEEDS, BLOCKED = ["かいふうすうでーた", "てつりつこく", "せいき"], ["せいき"]
 
 
-@query(f"WITH {CS_SQL} SELECT DISTINCT reading FROM (SELECT reading FROM keys UNION SELECT unnest({SEEDS})) WHERE reading NOT IN ({', '.join(map(S.quote, BLOCKED))})")
+ALLOW_SQL = f"{CS_SQL}, allow AS (SELECT DISTINCT reading FROM (SELECT reading FROM keys UNION SELECT unnest({SEEDS})) WHERE reading NOT IN ({', '.join(map(S.quote, BLOCKED))}))"
+
+
+@query(f"WITH {ALLOW_SQL} SELECT * FROM allow")
 def allow_list(spark: SparkSession, folder: str) -> DataFrame:
     """Context-sensitive keys and seeds without the blocked ones."""
     seeds = spark.createDataFrame([(x,) for x in SEEDS], "reading string")
@@ -137,30 +155,46 @@ def allow_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CS_SQL}, {COUNTS_SQL}, a AS (SELECT reading, count(*) AS targets FROM c GROUP BY 1)
-    SELECT row_id, coalesce(targets, 0) AS targets, coalesce(targets, 0) >= 2 AS ambiguous, keys.reading IS NOT NULL AND {S.clean_context('context_prev')} <> '' AS context_sensitive, coalesce(top_share, 1.0) AS top_share
-    FROM train LEFT JOIN a USING (reading) LEFT JOIN keys USING (reading)"""
+    f"""WITH {CS_SQL}, {COUNTS_SQL}, a AS ({AMBIGUOUS_SQL})
+    SELECT row_id, a.reading IS NOT NULL AS ambiguous, coalesce(strong, 1) AS reading_gold_count,
+    coalesce(keys.reading IS NOT NULL AND {S.clean_context('context_prev')} <> '' AND regexp_matches(gold, '[一-鿿]') AND gold <> t.reading, false) AS context_sensitive, coalesce(top_share, 1.0) AS top_share, coalesce(kanji_targets, 0) AS n_kanji_targets
+    FROM train t LEFT JOIN a ON a.reading = t.reading LEFT JOIN keys ON keys.reading = t.reading"""
 )
 def annotate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every row with the statistics of its key; defaults where the key has none."""
-    rows = read(spark, folder, "train").select("row_id", "reading", (T.clean_context(F.col("context_prev")) != "").alias("has_context"))
-    counts = target_counts(spark, folder).groupBy("reading").agg(F.count("*").alias("targets"))
-    keys = sensitive_keys(spark, folder).select("reading", "top_share")
+    """Every row with the statistics of its key; defaults where the key has none.
+
+    A row is context-sensitive when its key is, its context is not blank and its target is written with ideographs.
+    """
+    rows = read(spark, folder, "train").select("row_id", "reading", ((T.clean_context(F.col("context_prev")) != "") & T.has_kanji(F.col("gold")) & (F.col("gold") != F.col("reading"))).alias("fit"))
+    counts = ambiguous_keys(spark, folder).select("reading", "strong")
+    keys = sensitive_keys(spark, folder).select("reading", "top_share", "kanji_targets")
     joined = salted_lookup(salted_lookup(rows, counts, ["reading"], [F.col("row_id")], "left"), keys, ["reading"], [F.col("row_id")], "left")
-    targets = F.coalesce("targets", F.lit(0))
-    return joined.select("row_id", targets.alias("targets"), (targets >= 2).alias("ambiguous"), (F.col("top_share").isNotNull() & F.col("has_context")).alias("context_sensitive"), F.coalesce("top_share", F.lit(1.0)).alias("top_share"))
+    return joined.select(
+        "row_id", F.col("strong").isNotNull().alias("ambiguous"), F.coalesce("strong", F.lit(1)).alias("reading_gold_count"), F.coalesce(F.col("top_share").isNotNull() & F.col("fit"), F.lit(False)).alias("context_sensitive"),
+        F.coalesce("top_share", F.lit(1.0)).alias("top_share"), F.coalesce("kanji_targets", F.lit(0)).alias("n_kanji_targets"),
+    )
 
 
-@query(
-    f"""WITH {CS_SQL} SELECT log_id, CASE WHEN length(coalesce(r, '')) <= 2 THEN 'reading_too_short' WHEN c = '' OR NOT {S.linguistic('c')} THEN 'context_empty_or_symbol' WHEN r NOT IN (SELECT reading FROM keys) THEN 'reading_not_eligible' END AS skip
-    FROM (SELECT log_id, {S.context_key('reading')} AS r, {S.clean_context('context_prev')} AS c FROM rerank_smoke)"""
-)
+def skip_sql(strict: str) -> str:
+    return f"CASE WHEN length(coalesce(r, '')) <= 2 THEN 'reading_too_short' WHEN c = '' OR NOT {S.linguistic('c')} THEN 'context_empty_or_symbol' WHEN {strict} AND r NOT IN (SELECT reading FROM allow) THEN 'reading_not_eligible' END"
+
+
+def skip_reason(reading: Column, context: Column, eligible: Column, strict: Column) -> Column:
+    """Why a request is not scored, or null: of a normalised key, a cleaned context, whether the key is on the allow-list, and whether that counts."""
+    return F.when(F.length(F.coalesce(reading, F.lit(""))) <= 2, "reading_too_short").when((context == "") | ~T.linguistic(context), "context_empty_or_symbol").when(strict & ~eligible, "reading_not_eligible")
+
+
+def with_eligible(spark: SparkSession, folder: str, rows: DataFrame, key: str, spread: str) -> DataFrame:
+    """Rows with a flag whether their key is on the allow-list; a left join, not a collected set."""
+    allowed = allow_list(spark, folder).select(F.col("reading").alias(key), F.lit(True).alias("_eligible"))
+    return salted_lookup(rows, allowed, [key], [F.col(spread)], "left").withColumn("eligible", F.coalesce("_eligible", F.lit(False))).drop("_eligible")
+
+
+@query(f"WITH {ALLOW_SQL} SELECT log_id, {skip_sql('true')} AS skip FROM (SELECT log_id, {S.context_key('reading')} AS r, {S.clean_context('context_prev')} AS c FROM rerank_smoke)")
 def guard_skip(spark: SparkSession, folder: str) -> DataFrame:
-    """Why a request is not scored, or null; the allow-list is a left join, not a collected set."""
-    rows = read(spark, folder, "rerank_smoke").select("log_id", T.context_key_norm(F.col("reading")).alias("reading"), T.clean_context(F.col("context_prev")).alias("c"))
-    joined = salted_lookup(rows, sensitive_keys(spark, folder).select("reading", F.lit(True).alias("eligible")), ["reading"], [F.col("log_id")], "left")
-    skip = F.when(F.length(F.coalesce("reading", F.lit(""))) <= 2, "reading_too_short").when((F.col("c") == "") | ~T.linguistic(F.col("c")), "context_empty_or_symbol").when(F.col("eligible").isNull(), "reading_not_eligible")
-    return joined.select("log_id", skip.alias("skip"))
+    """Why a request is not scored, or null."""
+    rows = read(spark, folder, "rerank_smoke").select("log_id", T.context_key_norm(F.col("reading")).alias("r"), T.clean_context(F.col("context_prev")).alias("c"))
+    return with_eligible(spark, folder, rows, "r", "log_id").select("log_id", skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.lit(True)).alias("skip"))
 
 
 BUNDLE_SQL = f"""{MAP_SQL}, h AS (SELECT DISTINCT reading, {S.strong('gold')} AS ns FROM holdout WHERE gold IS NOT NULL),

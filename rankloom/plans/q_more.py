@@ -149,12 +149,3 @@ def zip_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Groups flattened to (group, place, score) and put together again by place."""
     flat = groups(spark, folder).select("grp", F.posexplode("scores").alias("i", "s"))
     return flat.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum(F.col("s") * (F.col("i") + 1)), 6).alias("weighted"))
-
-
-# First levels of parts of speech that carry content, and that do not.
-CONTENT = ("名詞", "動詞", "形容詞", "形状詞", "副詞", "連体詞")
-
-
-def content_token(pos, surface):
-    """Whether a token carries content: by the first level of its part of speech, without digits and addresses."""
-    return F.coalesce(F.get(pos, F.lit(0)).isin(*CONTENT), F.lit(False)) & ~F.coalesce(surface, F.lit("")).rlike(r"[0-9０-９]|https?:|www\.|@")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import dedup as D
 from rankloom.operators import splits
+from rankloom.plans.q_text import T_fraction, fraction_sql
 from rankloom.session import read_table as read
 
 QUERIES: dict = {}
@@ -51,13 +52,11 @@ def split_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT log_id, reading, row_number() OVER (PARTITION BY reading ORDER BY log_id) AS p, count(*) OVER (PARTITION BY reading) AS n FROM rerank_smoke WHERE reading IS NOT NULL)
-    SELECT log_id, CASE WHEN n = 1 THEN ('0x' || substr(sha256('9:' || reading), 1, 8))::BIGINT / 4294967296.0 < 0.2 ELSE p > n - least(n - 1, greatest(1, round_even(n * 0.2, 0))) END AS held FROM g"""
+    f"""WITH g AS (SELECT log_id, reading, row_number() OVER (PARTITION BY reading ORDER BY log_id) AS p, count(*) OVER (PARTITION BY reading) AS n FROM rerank_smoke WHERE reading IS NOT NULL)
+    SELECT log_id, CASE WHEN n = 1 THEN {fraction_sql('9', 'reading')} < 0.2 ELSE p > n - least(n - 1, greatest(1, round_even(n * 0.2, 0))) END AS held FROM g"""
 )
 def split_usage_tail(spark: SparkSession, folder: str) -> DataFrame:
     """The last outcomes of each key are held out; a single one by its hash."""
-    from rankloom.plans.q_text import T_fraction
-
     log = read(spark, folder, "rerank_smoke").filter("reading IS NOT NULL").select("log_id", "reading")
     own = W.partitionBy("reading")
     g = log.withColumn("p", F.row_number().over(own.orderBy("log_id"))).withColumn("n", F.count("*").over(own))

@@ -128,10 +128,14 @@ def parse_completion(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select("doc_id", F.posexplode(three).alias("place", "candidate")).select("doc_id", (F.col("place") + 1).alias("place"), "candidate")
 
 
+def fraction_sql(seed: str, text: str) -> str:
+    return f"(('0x' || substr(sha256('{seed}:' || {text}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+
+
 @query(
-    """SELECT row_id, f AS fraction, CASE WHEN length(c) >= 4 THEN CASE WHEN f < 0.5 THEN substr(c, 1, length(c) // 2)
+    f"""SELECT row_id, f AS fraction, CASE WHEN length(c) >= 4 THEN CASE WHEN f < 0.5 THEN substr(c, 1, length(c) // 2)
     ELSE array_to_string(list_filter(string_split(c, ''), lambda x, i: i % 2 = 1), '') END ELSE c END AS corrupted FROM (
-    SELECT row_id, coalesce(context_prev, '') AS c, round(('0x' || substr(sha256('7:' || row_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0, 9) AS f FROM train)"""
+    SELECT row_id, coalesce(context_prev, '') AS c, round({fraction_sql('7', 'row_id::VARCHAR')}, 9) AS f FROM train)"""
 )
 def corrupted_contexts(spark: SparkSession, folder: str) -> DataFrame:
     """Contexts cut in half or thinned, by a stable coin."""
@@ -142,18 +146,22 @@ def corrupted_contexts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def T_fraction(column: str, seed: int):
-    """A stable number in [0, 1) from the first 32 bits of SHA-256."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A stable number in [0, 1) from the first 64 bits of SHA-256."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")), 256), 1, 16), 16, 10).cast("double") / F.lit(18446744073709551616.0)
+
+
+# How places and companies end.
+PLACE_END, COMPANY = "(市|区|町|村|駅|県|府|道)$", "株式会社|有限会社|合同会社"
 
 
 @query(
-    """SELECT hint, count(*) AS n FROM (SELECT CASE WHEN coalesce(category, '') <> '' THEN category WHEN regexp_matches(gold, '(市|区|町|村|駅|県|府|道)$') THEN 'place_suffix'
-    WHEN regexp_matches(gold, '株式会社|有限会社|合同会社') THEN 'company' ELSE 'other' END AS hint FROM train WHERE NOT coalesce(mozc_hit1, false) AND NOT coalesce(gold_in_nbest, false)) GROUP BY 1"""
+    f"""SELECT hint, count(*) AS n FROM (SELECT CASE WHEN coalesce(category, '') <> '' THEN category WHEN regexp_matches(gold, '{PLACE_END}') THEN 'place_suffix'
+    WHEN regexp_matches(gold, '{COMPANY}') THEN 'company' ELSE 'other' END AS hint FROM train WHERE NOT coalesce(mozc_hit1, false) AND NOT coalesce(gold_in_nbest, false)) GROUP BY 1"""
 )
 def type_hints(spark: SparkSession, folder: str) -> DataFrame:
     """What kinds of targets the candidates miss."""
     rows = read(spark, folder, "train").filter("NOT coalesce(mozc_hit1, false) AND NOT coalesce(gold_in_nbest, false)")
-    hint = F.when(F.coalesce("category", F.lit("")) != "", F.col("category")).when(F.col("gold").rlike("(市|区|町|村|駅|県|府|道)$"), "place_suffix").when(F.col("gold").rlike("株式会社|有限会社|合同会社"), "company").otherwise("other")
+    hint = F.when(F.coalesce("category", F.lit("")) != "", F.col("category")).when(F.col("gold").rlike(PLACE_END), "place_suffix").when(F.col("gold").rlike(COMPANY), "company").otherwise("other")
     return rows.groupBy(hint.alias("hint")).agg(F.count("*").alias("n"))
 
 
@@ -205,20 +213,31 @@ def ruby_markup(spark: SparkSession, folder: str) -> DataFrame:
     return tables.ruby(read(spark, folder, "documents"), "doc_id", "text").distinct()
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '</?[A-Za-z][^>]*>', '', 'g')) AS plain FROM documents WHERE starts_with(text, '<p>')")
+@query("SELECT doc_id, trim(regexp_replace(text, '</?[A-Za-z][^>]*>', '', 'g')) AS plain FROM documents")
 def strip_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """Marked-up texts without tags."""
-    return read(spark, folder, "documents").filter(F.col("text").startswith("<p>")).select("doc_id", F.trim(F.regexp_replace("text", "</?[A-Za-z][^>]*>", "")).alias("plain"))
+    """Every text without tags."""
+    return read(spark, folder, "documents").select("doc_id", F.trim(F.regexp_replace("text", "</?[A-Za-z][^>]*>", "")).alias("plain"))
 
 
-@query(
-    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1)::INTEGER AS position FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, position, token FROM t WHERE length(token) >= 3"""
-)
+TOKEN_SQL = f"""l AS (SELECT doc_id, regexp_extract_all(text, {S.quote(tables.TOKEN)}) AS parts FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, unnest(parts) AS token, generate_subscripts(parts, 1) AS i FROM l),
+    o AS (SELECT doc_id, i, token, (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY i) - length(token))::BIGINT AS char_begin,
+        (sum((token IN ('。', '！', '？', '!', '?'))::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) - (token IN ('。', '！', '？', '!', '?'))::INTEGER)::BIGINT AS sent_id,
+        CASE WHEN regexp_full_match(token, '[一-鿿々〆ヶ]+|[ァ-ヺー]+|[A-Za-zＡ-Ｚａ-ｚ]+|[0-9０-９.,．，]*[0-9０-９][0-9０-９.,．，]*') THEN '名詞' WHEN regexp_full_match(token, '[ぁ-ゖ][ぁ-ゖー]*') THEN '助詞' ELSE '補助記号' END AS pos FROM u),
+    k AS (SELECT doc_id, i::INTEGER - 1 AS position, sent_id, char_begin, token, pos FROM o)"""
+
+
+@query(f"WITH {TOKEN_SQL} SELECT doc_id, position, sent_id, char_begin, token, pos FROM k WHERE NOT regexp_full_match(token, '[{S.WS}]+')")
 def token_explode(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each Latin token of three letters or more, with its place."""
-    each = read(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("position", "token"))
-    return each.select("doc_id", (F.col("position") + 1).alias("position"), "token").filter(F.length("token") >= 3)
+    """Every token of every whole text, cut by script, with its sentence, offset and part of speech; blanks are no tokens."""
+    return tables.tokens(read(spark, folder, "documents"), "doc_id", "text").filter(~F.col("token").rlike(r"(?U)^\s+$"))
+
+
+@query(f"WITH {TOKEN_SQL} SELECT doc_id, position, token FROM k WHERE pos = '名詞' AND NOT regexp_full_match(token, '{tables.DIGITS_ONLY}') AND NOT regexp_matches(token, 'https?://|www\\.|@')")
+def content_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens that carry content: by part of speech, without numbers in any script and addresses."""
+    t = tables.tokens(read(spark, folder, "documents"), "doc_id", "text")
+    return t.filter(tables.content_token(F.array("pos"), F.col("token"))).select("doc_id", "position", "token")
 
 
 @query(

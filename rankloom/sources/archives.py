@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import key_norm, valid_key
+from rankloom.functions.text import key_norm, valid_key, weak_surface
 from rankloom.operators.dedup import wins
 
 # Town names that stand for no town.
-NO_TOWN = ("以下に掲載がない場合", "一円")
-RANGE_MARKS = "（〜～"
+NO_TOWN = ("以下に掲載がない場合", "一円", "番地がくる場合")
+RANGE_MARKS = "()~（）〜"
 
 
 def _decode(raw: bytes, encodings: tuple[str, ...]) -> str:
@@ -54,7 +54,7 @@ def postal_records(rows: DataFrame) -> DataFrame:
 
     Fields 3 to 5 hold the readings of prefecture, city and town, 6 to 8 their names.
     """
-    f = lambda i: F.trim(F.get("fields", F.lit(i)))
+    f = lambda i: weak_surface(F.get("fields", F.lit(i)))
     town = F.when(f(8).isin(*NO_TOWN) | f(8).rlike(f"[{RANGE_MARKS}]"), F.lit("")).otherwise(f(8))
     parts = {"prefecture": (f(6), f(3)), "city": (f(7), f(4)), "prefecture_city": (F.concat(f(6), f(7)), F.concat(f(3), f(4))), "town": (town, f(5)), "city_town": (F.when(town != "", F.concat(f(7), town)), F.concat(f(4), f(5)))}
     each = rows.select("line", F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(k).alias("kind"), s.alias("surface"), r.alias("reading")) for i, (k, (s, r)) in enumerate(parts.items())])))

@@ -8,7 +8,8 @@ from collections.abc import Mapping
 from pathlib import Path
 
 POLICY = {"tau": 2.5, "cand_cap": 30, "max_len": 128, "timeout_ms": 200, "context_clip_max_chars": 50}  # fixed values
-_PRIVATE = re.compile(r"usage|private|conversion_log|ime_log", re.IGNORECASE)
+# Words in paths that tell of personal data.
+_PRIVATE = re.compile(r"private|personal|usage|ime[-_]?usage|conversion[-_]?log|rerank[-_]?requests|chat|secret", re.IGNORECASE)
 
 
 def read_env(path: str) -> dict[str, str]:
@@ -38,8 +39,9 @@ def read_policy(path: str | None, environment: Mapping[str, str] | None = None)
     return policy
 
 
-def ensure_public(prefix: str, *paths: str) -> None:
-    """Refuse paths that hold private logs, log files, and paths outside of the public prefix."""
-    for path in paths:
-        if _PRIVATE.search(path) or path.endswith(".log") or not Path(path).as_posix().startswith(Path(prefix).as_posix().rstrip("/") + "/"):
+def ensure_public(prefix: str | None, *paths: str) -> None:
+    """Refuse paths, or comma-separated lists of them, that tell of personal data, log files, and with a prefix those outside of it."""
+    inside = Path(prefix).as_posix().rstrip("/") + "/" if prefix else ""
+    for path in (x.strip().replace("\\", "/") for raw in paths for x in (raw or "").split(",")):
+        if path and (_PRIVATE.search(path) or path.lower().endswith(".log") or ".." in path.split("/") or not Path(path).as_posix().startswith(inside)):
             raise ValueError(f"not a public path: {path}")

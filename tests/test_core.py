@@ -125,11 +125,11 @@ def test_scoring(spark):
 
 
 def test_content_tokens(spark):
-    from rankloom.plans.q_more import content_token
+    from rankloom.operators.tables import content_token
 
-    rows = [(["名詞"], "山"), (["助詞"], "は"), (None, "x"), ([], "x"), (["名詞"], "第3"), (["名詞"], "a@b")]
+    rows = [(["名詞"], "山"), (["助詞"], "は"), (None, "x"), ([], "x"), (["名詞"], "第3"), (["名詞"], "a@b"), (["名詞"], "三"), (["名詞", "数詞"], "１２"), (["名詞"], "https://x"), (["動詞"], "走る")]
     df = spark.createDataFrame(rows, "p array<string>, s string")
-    assert [r[0] for r in df.select(content_token(F.col("p"), F.col("s"))).collect()] == [True, False, False, False, False, False]
+    assert [r[0] for r in df.select(content_token(F.col("p"), F.col("s"))).collect()] == [True, False, False, False, True, False, False, False, False, True]
 
 
 def test_command_line(capsys):

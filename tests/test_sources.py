@@ -96,3 +96,20 @@ def test_contexts_and_benchmark(spark):
     assert [tuple(r) for r in json_lines.benchmark_rows(rows).collect()] == [("k", "g", []), ("よみ", "x", ["a", "b"])]
     nested = spark.createDataFrame([(1, ("s", "r"))], "i int, record struct<surface: string, reading: string>")
     assert json_lines.records(nested).columns == ["i", "surface", "reading"]
+
+
+def test_private_paths():
+    settings.ensure_public("data/staged", "data/staged/train.json,data/staged/eval.json")
+    settings.ensure_public(None, "anywhere/model", "")
+    for path in ("data/private/x", "a/personal-v1", "a/usage30m", "x/ime_usage_pairs.json", "x/conversion.LOG", "b/chat/y", "c\\secret\\z", "d/rerank-requests", "e/conversion-log/f", "data/staged/a.json,data/staged/secret.json"):
+        with pytest.raises(ValueError):
+            settings.ensure_public(None, path)
+    for path in ("data/other/x.json", "data/staged/../other.json"):
+        with pytest.raises(ValueError):
+            settings.ensure_public("data/staged", path)
+
+
+def test_postal_rules(spark):
+    rows = [(0, ["1", "2", "3", "アキタケン", "アキタシ", "ナカチョウ", "秋田県", "秋田市", "中町"]), (1, ["1", "2", "3", "アキタケン", "アキタシ", "バンチガクルバアイ", "秋田県", "秋田市", "番地がくる場合"]), (2, ["1", "2", "3", "アキタケン", "アキタシ", "ヒガシ", "秋田県", "秋田市", "東(1~3)"]), (3, ["1", "2", "3", "ﾐﾔｷﾞｹﾝ", "センダイシ", "ニシ", "宮城県", "仙台市", "ＡＢ"])]
+    found = {r["surface"] for r in archives.postal_records(spark.createDataFrame(rows, "line bigint, fields array<string>")).collect()}
+    assert found == {"秋田県", "秋田市", "秋田県秋田市", "中町", "秋田市中町", "宮城県", "仙台市", "宮城県仙台市", "AB", "仙台市AB"}

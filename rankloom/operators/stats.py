@@ -37,6 +37,15 @@ def value_at(df: DataFrame, value: str, place: Column, width: float) -> DataFram
     return ranked.filter((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))).select(value)
 
 
+def upper_median_by(df: DataFrame, groups: list[str], value: str, width: float) -> DataFrame:
+    """(groups..., n, value): the upper median of each group, by counts of equal values and running totals; nulls do not count."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col(value) / width).cast("bigint"))
+    totals = counts.groupBy(*groups).agg(F.sum("_n").alias("n"))
+    ranked = running_total(counts, groups, "_block", [F.col(value)], "_n", "_before").join(totals, groups)
+    at = F.floor(F.col("n") / 2)
+    return ranked.filter((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))).select(*groups, "n", value)
+
+
 def pair_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: mean absolute, root mean square, mean and largest difference, means and population deviations."""
     d = F.col(x) - F.col(y)

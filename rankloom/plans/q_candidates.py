@@ -87,49 +87,43 @@ def margin_recommend(spark: SparkSession, folder: str) -> DataFrame:
     return gate.recommend(gate.sweep(groups(spark, folder), TAUS))
 
 
-@query(
-    f"""WITH {GROUPS_SQL}, {DECIDE_SQL}, p AS (SELECT unnest(['none', 'safety', 'strict']) AS policy),
-    k AS (SELECT d.*, policy, tau, policy <> 'none' AND (length(coalesce(reading, '')) <= 2 OR context = '' OR (policy = 'strict' AND source <> 'ime_online')) AS skipped FROM d, p, {TAU_SQL}),
-    o AS (SELECT *, NOT coalesce(skipped, false) AND coalesce(rerank_top1 <> base AND margin >= tau, false) AS overwritten FROM k),
-    f AS (SELECT *, CASE WHEN overwritten THEN rerank_top1 ELSE base END AS final_top1 FROM o)
-    SELECT policy, tau, count(*) AS n, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE overwritten) AS overwrite, count(*) FILTER (WHERE final_top1 = target) AS final_hit,
-    count(*) FILTER (WHERE base <> target AND final_top1 = target) AS helped, count(*) FILTER (WHERE base = target AND final_top1 <> target) AS hurt FROM f GROUP BY 1, 2"""
-)
-def sweep_policy_cross(spark: SparkSession, folder: str) -> DataFrame:
-    """Policies times thresholds over the same groups."""
-    g = groups(spark, folder).withColumn("policy", F.explode(F.array(*map(F.lit, ("none", "safety", "strict"))))).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
-    skip = (F.col("policy") != "none") & ((F.length(F.coalesce("reading", F.lit(""))) <= 2) | (F.col("context") == "") | ((F.col("policy") == "strict") & (F.col("source") != "ime_online")))
-    d = gate.decide(g.withColumn("skipped", F.coalesce(skip, F.lit(False))), F.col("tau")).withColumn("overwritten", F.col("overwritten") & ~F.col("skipped"))
-    d = d.withColumn("final_top1", F.when(F.col("overwritten"), F.col("rerank_top1")).otherwise(F.col("base")))
-    b, t, f = F.col("base"), F.col("target"), F.col("final_top1")
-    return d.groupBy("policy", "tau").agg(
-        F.count("*").alias("n"), F.count_if("skipped").alias("skipped"), F.count_if("overwritten").alias("overwrite"), F.count_if(f == t).alias("final_hit"),
-        F.count_if((b != t) & (f == t)).alias("helped"), F.count_if((b == t) & (f != t)).alias("hurt"),
-    )
-
+NATIVE, TAU_NATIVE = 3, 2.0
 
+_PART = "count(*) FILTER (WHERE {0})"
+_SHARE = "CASE WHEN {1} > 0 THEN round_even({0} / {1}, 6) ELSE 0.0 END"
 DUAL_SQL = f"""WITH {GROUPS_SQL}, {DECIDE_SQL},
-    o AS (SELECT d.*, tau, coalesce(rerank_top1 <> base AND margin >= CASE WHEN rerank_index > 3 THEN tau + 1 ELSE tau END, false) AS overwritten, list_contains(cands, target) AS covered FROM d, {TAU_SQL}),
-    f AS (SELECT *, CASE WHEN overwritten THEN rerank_top1 ELSE base END AS final_top1 FROM o), {metrics_sql('f')}"""
+    o AS (SELECT d.*, tau, coalesce(rerank_top1 <> base AND margin >= CASE WHEN rerank_index > {NATIVE} THEN tau ELSE {TAU_NATIVE} END, false) AS overwritten, list_contains(cands, target) AS covered, base <> target AND list_contains(cands[1:{NATIVE}], target) AS in_a FROM d, {TAU_SQL}),
+    f AS (SELECT *, CASE WHEN overwritten THEN rerank_top1 ELSE base END AS final_top1, base <> target AND NOT in_a AS in_b FROM o), {metrics_sql('f')},
+    x AS (SELECT tau, {_PART.format(f'overwritten AND rerank_index > {NATIVE}')} AS overwrite_inject, {_PART.format('in_a')} AS a_n, {_PART.format('in_a AND final_top1 = target')} AS a_recover, {_PART.format('in_b')} AS b_n, {_PART.format('in_b AND covered')} AS b_covered,
+        {_PART.format('in_b AND covered AND final_top1 = target')} AS b_recover, {_PART.format('base = target AND final_top1 = target')} AS hit_kept FROM f GROUP BY 1),
+    dual AS (SELECT metrics.*, x.* EXCLUDE (tau, hit_kept), {_SHARE.format('a_recover', 'a_n')} AS a_recovery_rate, {_SHARE.format('b_recover', 'b_covered')} AS b_recovery_rate, {_SHARE.format('hit_kept', 'base_hit')} AS hit_subset_final_hit1, {_SHARE.format('overwrite_inject', 'n')} AS overwrite_inject_rate FROM metrics JOIN x USING (tau))"""
 
 
-@query(f"{DUAL_SQL} SELECT metrics.*, (SELECT count(*) FROM f WHERE f.tau = metrics.tau AND overwritten AND rerank_index > 3) AS overwrite_inject FROM metrics")
+@query(f"{DUAL_SQL} SELECT * FROM dual")
 def margin_dual_tau(spark: SparkSession, folder: str) -> DataFrame:
-    """Two thresholds: a higher one where the winner is past the first three candidates."""
+    """Two thresholds, the second one swept: it holds where the winner is past the native candidates; with what becomes of each slice."""
     g = groups(spark, folder).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
-    d = gate.decide_dual(g, F.col("tau"), F.col("tau") + 1, F.lit(3))
+    d = gate.decide_dual(g, F.lit(TAU_NATIVE), F.col("tau"), F.lit(NATIVE))
     b, t, r, f = F.col("base"), F.col("target"), F.col("rerank_top1"), F.col("final_top1")
+    inside, covered = F.array_contains(F.slice("cands", 1, NATIVE), t), F.array_contains("cands", t)
+    in_a, in_b = (b != t) & inside, (b != t) & ~inside
     s = d.groupBy("tau").agg(
         F.count("*").alias("n"), F.count_if(b == t).alias("base_hit"), F.count_if(r == t).alias("raw_hit"), F.count_if(f == t).alias("final_hit"), F.count_if((b != t) & (f == t)).alias("recover"),
-        F.count_if((b == t) & (f != t)).alias("regress"), F.count_if("overwritten").alias("overwrite"), F.count_if(F.col("overwritten") & (F.col("rerank_index") > 3)).alias("overwrite_inject"),
+        F.count_if((b == t) & (f != t)).alias("regress"), F.count_if("overwritten").alias("overwrite"), F.count_if(F.col("overwritten") & (F.col("rerank_index") > NATIVE)).alias("overwrite_inject"),
+        F.count_if(in_a).alias("a_n"), F.count_if(in_a & (f == t)).alias("a_recover"), F.count_if(in_b).alias("b_n"), F.count_if(in_b & covered).alias("b_covered"), F.count_if(in_b & covered & (f == t)).alias("b_recover"),
     )
     n, base, final = F.col("n"), gate.rate(F.col("base_hit"), F.col("n")), gate.rate(F.col("final_hit"), F.col("n"))
-    return s.withColumn("base_hit1", base).withColumn("raw_hit1", gate.rate(F.col("raw_hit"), n)).withColumn("final_hit1", final).withColumn("delta_pt", F.bround((final - base) * 100, 3)).withColumn(
-        "recovery_rate", gate.rate(F.col("recover"), n - F.col("base_hit"))
-    ).withColumn("regression_rate", gate.rate(F.col("regress"), F.col("base_hit"))).withColumn("overwrite_rate", gate.rate(F.col("overwrite"), n))
+    rates = {
+        "recovery_rate": ("recover", n - F.col("base_hit")), "regression_rate": ("regress", F.col("base_hit")), "overwrite_rate": ("overwrite", n), "a_recovery_rate": ("a_recover", F.col("a_n")),
+        "b_recovery_rate": ("b_recover", F.col("b_covered")), "overwrite_inject_rate": ("overwrite_inject", n),
+    }
+    out = s.withColumn("base_hit1", base).withColumn("raw_hit1", gate.rate(F.col("raw_hit"), n)).withColumn("final_hit1", final).withColumn("delta_pt", F.bround((final - base) * 100, 3))
+    for name, (part, whole) in rates.items():
+        out = out.withColumn(name, gate.rate(F.col(part), whole))
+    return out.withColumn("hit_subset_final_hit1", gate.rate(F.col("base_hit") - F.col("regress"), F.col("base_hit")))
 
 
-@query(f"{SWEPT_SQL.replace('GROUP BY ALL', 'GROUP BY ALL')}, k AS (SELECT tau, source, count(*) FILTER (WHERE base = target) AS hits, count(*) FILTER (WHERE base = target AND final_top1 <> target) AS lost, count(*) FILTER (WHERE final_top1 = target) - count(*) FILTER (WHERE base = target) AS gained, count(*) AS n FROM f GROUP BY 1, 2) SELECT tau, bool_and(lost < 0.02 * hits OR hits = 0) AS safe, round(min(gained / n) * 100, 4) AS worst_delta FROM k GROUP BY 1")
+@query(f"{SWEPT_SQL}, k AS (SELECT tau, source, count(*) FILTER (WHERE base = target) AS hits, count(*) FILTER (WHERE base = target AND final_top1 <> target) AS lost, count(*) FILTER (WHERE final_top1 = target) - count(*) FILTER (WHERE base = target) AS gained, count(*) AS n FROM f GROUP BY 1, 2) SELECT tau, bool_and(lost < 0.02 * hits OR hits = 0) AS safe, round(min(gained / n) * 100, 4) AS worst_delta FROM k GROUP BY 1")
 def cross_set_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Each threshold's worst gain over the sets, and whether every set keeps its regression low."""
     s = gate.sweep(groups(spark, folder), TAUS, groups=("source",))

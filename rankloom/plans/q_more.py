@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as T
 from rankloom.operators import candidates as C
 from rankloom.operators import dedup as D
-from rankloom.plans.q_candidates import DUAL_SQL, GROUPS_SQL, groups, margin_dual_tau
+from rankloom.operators import gate
+from rankloom.plans.q_candidates import DECIDE_SQL, DUAL_SQL, GROUPS_SQL, NATIVE, TAU_NATIVE, groups, margin_dual_tau, metrics_sql
 from rankloom.plans.q_joins import EXTRA_SQL, injected
 from rankloom.session import read_table as read
 
@@ -51,11 +52,25 @@ def review_examples(spark: SparkSession, folder: str) -> DataFrame:
     return log.filter(~C.hit_at(F.col("chosen"), C.dedupe(F.col("nbest")), 2)).select("log_id", "reading", "chosen")
 
 
-@query(f"{DUAL_SQL}, l AS (SELECT *, (SELECT min(regression_rate) FROM metrics) AS least FROM metrics) SELECT tau, final_hit1, regression_rate FROM l WHERE regression_rate <= greatest(0.025, least + 0.005) ORDER BY final_hit1 DESC, regression_rate, tau LIMIT 1")
+_NO_INJECT_SQL = DECIDE_SQL.replace("FROM g)", f"FROM (SELECT * REPLACE (cands[1:{NATIVE}] AS cands, scores[1:{NATIVE}] AS scores) FROM g))")
+_RECOMMEND_SQL = f"""{DUAL_SQL}, plain AS (WITH {_NO_INJECT_SQL}, o AS (SELECT *, coalesce(rerank_top1 <> base AND margin >= {TAU_NATIVE}, false) AS overwritten FROM d), f AS (SELECT 0 AS tau, *, CASE WHEN overwritten THEN rerank_top1 ELSE base END AS final_top1 FROM o), {metrics_sql('f')} SELECT final_hit1 AS base_hit1, regression_rate AS base_reg FROM metrics),
+    l AS (SELECT dual.* EXCLUDE (base_hit1), plain.*, regression_rate <= greatest(0.025, base_reg + 0.005) AS kept FROM dual, plain),
+    best AS (SELECT * FROM l ORDER BY kept DESC, final_hit1 DESC, regression_rate, tau LIMIT 1)
+    SELECT tau, kept AS limit_met, final_hit1, regression_rate, round_even((final_hit1 - base_hit1) * 100, 3) AS delta_pt_vs_plain, round_even((regression_rate - base_reg) * 100, 3) AS delta_regress_pt_vs_plain, b_recovery_rate,
+    CASE WHEN b_n > 0 THEN round_even(b_covered / b_n, 6) ELSE 0.0 END AS rescue_rate,
+    (CASE WHEN b_n > 0 THEN round_even(b_covered / b_n, 6) ELSE 0.0 END) >= 0.15 AND regression_rate <= 0.025 AND (round_even((final_hit1 - base_hit1) * 100, 3) >= 0 OR b_recovery_rate >= 0.01) AND hit_subset_final_hit1 >= 0.97 AS ship FROM best"""
+
+
+@query(_RECOMMEND_SQL)
 def inject_recommend(spark: SparkSession, folder: str) -> DataFrame:
-    """The best pair of thresholds whose regression stays near the least one; a choice of one row of a small sweep."""
-    s = margin_dual_tau(spark, folder).withColumn("least", F.min("regression_rate").over(W.partitionBy(F.lit(1))))
-    return s.filter(F.col("regression_rate") <= F.greatest(F.lit(0.025), F.col("least") + 0.005)).orderBy(F.desc("final_hit1"), "regression_rate", "tau").limit(1).select("tau", "final_hit1", "regression_rate")
+    """The threshold of injected candidates with the most hits among those whose regression stays near the one without injection (all of them if none does), and whether it is good enough; a choice of one row of a small sweep."""
+    g = groups(spark, folder)
+    plain = gate.sweep(g.withColumn("cands", F.slice("cands", 1, NATIVE)).withColumn("scores", F.slice("scores", 1, NATIVE)), [TAU_NATIVE]).select(F.lit(1).alias("one"), F.col("final_hit1").alias("base_hit1"), F.col("regression_rate").alias("base_reg"))
+    l = margin_dual_tau(spark, folder).drop("base_hit1").withColumn("one", F.lit(1)).join(plain, "one").withColumn("limit_met", F.col("regression_rate") <= F.greatest(F.lit(0.025), F.col("base_reg") + 0.005))  # noqa: E741  a row for each threshold, and one
+    best = l.orderBy(F.desc("limit_met"), F.desc("final_hit1"), "regression_rate", "tau").limit(1)
+    rescue, gain = gate.rate(F.col("b_covered"), F.col("b_n")), F.bround((F.col("final_hit1") - F.col("base_hit1")) * 100, 3)
+    ship = (rescue >= 0.15) & (F.col("regression_rate") <= 0.025) & ((gain >= 0) | (F.col("b_recovery_rate") >= 0.01)) & (F.col("hit_subset_final_hit1") >= 0.97)
+    return best.select("tau", "limit_met", "final_hit1", "regression_rate", gain.alias("delta_pt_vs_plain"), F.bround((F.col("regression_rate") - F.col("base_reg")) * 100, 3).alias("delta_regress_pt_vs_plain"), "b_recovery_rate", rescue.alias("rescue_rate"), ship.alias("ship"))
 
 
 _TAG = "CASE WHEN coalesce(mozc_hit1, false) THEN 'hit' WHEN coalesce(gold_in_nbest, false) THEN 'A' ELSE 'B' END"

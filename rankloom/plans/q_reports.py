@@ -200,12 +200,30 @@ def pair_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats.pair_stats(read(spark, folder, "rerank_smoke").filter("size(scores) > 1").select(F.get("scores", F.lit(0)).alias("x"), F.get("scores", F.lit(1)).alias("y")), "x", "y")
 
 
-@query("WITH p AS (SELECT corr(scores[1], scores[2]) AS r, avg(abs(scores[1] - scores[2])) AS mae FROM rerank_smoke WHERE len(scores) > 1) SELECT CASE WHEN r >= 0.999 AND mae < 0.001 THEN 'equal' WHEN r >= 0.99 THEN 'scaled' WHEN r >= 0.8 THEN 'drifted' ELSE 'different' END AS diagnosis FROM p")
+_RANKS = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+_PARITY_SQL = f"""WITH s AS (SELECT scores[1] AS x, scores[2] AS y, scores[3] AS z FROM rerank_smoke WHERE len(scores) > 2), r AS (SELECT *, {_RANKS.format('x')} AS rx, {_RANKS.format('y')} AS ry, {_RANKS.format('z')} AS rz FROM s),
+    c AS (SELECT round(avg(abs(x - y)), 6) AS mae, round(corr(rx, ry), 6) AS spearman, round(avg(abs(x - z)), 6) AS mae_small, round(corr(rx, rz), 6) AS spearman_small, round(stddev_pop(z) / greatest(1e-8, stddev_pop(x)), 6) AS scale FROM r)
+    SELECT *, CASE WHEN mae > 0.05 OR coalesce(spearman < 0.99, false) THEN 'export' WHEN mae_small > 0.2 OR coalesce(spearman_small < 0.95, false) THEN 'int8_quantization' WHEN abs(scale - 1) > 0.25 THEN 'tau_scale' ELSE 'tau_scale_or_minor_quant' END AS cause FROM c"""
+
+
+@query(_PARITY_SQL)
 def parity_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
-    """What the difference between two scorers looks like."""
-    s = stats.pair_stats(read(spark, folder, "rerank_smoke").filter("size(scores) > 1").select(F.get("scores", F.lit(0)).alias("x"), F.get("scores", F.lit(1)).alias("y")), "x", "y")
-    r = F.col("pearson")
-    return s.select(F.when((r >= 0.999) & (F.col("mae") < 0.001), "equal").when(r >= 0.99, "scaled").when(r >= 0.8, "drifted").otherwise("different").alias("diagnosis"))
+    """Where scores of three backends part: the export, the quantisation, or only the scale; from rank correlations and mean differences."""
+    s = read(spark, folder, "rerank_smoke").filter("size(scores) > 2").select("log_id", *[F.get("scores", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+    r = lambda c, name: F.round(c, 6).alias(name)
+    one = s.agg(r(F.avg(F.abs(F.col("x") - F.col("y"))), "mae"), r(F.avg(F.abs(F.col("x") - F.col("z"))), "mae_small"), r(F.stddev_pop("z") / F.greatest(F.lit(1e-8), F.stddev_pop("x")), "scale")).withColumn("one", F.lit(1))
+    for other, name in (("y", "spearman"), ("z", "spearman_small")):
+        one = one.join(stats.spearman(s, "log_id", "x", other).select(F.lit(1).alias("one"), r(F.col("spearman"), name)), "one")  # tables of one row
+    low = lambda c, least: F.coalesce(F.nanvl(F.col(c), F.lit(1.0)) < least, F.lit(False))
+    cause = F.when((F.col("mae") > 0.05) | low("spearman", 0.99), "export").when((F.col("mae_small") > 0.2) | low("spearman_small", 0.95), "int8_quantization").when(F.abs(F.col("scale") - 1) > 0.25, "tau_scale").otherwise("tau_scale_or_minor_quant")
+    return one.select("mae", "spearman", "mae_small", "spearman_small", "scale", cause.alias("cause"))
+
+
+@query(f"{SWEPT_SQL} SELECT tau, count(*) AS n, round((list(margin ORDER BY margin))[count(*) // 2 + 1], 4) AS margin_p50 FROM f WHERE overwritten AND margin IS NOT NULL GROUP BY 1")
+def overwrite_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """The upper median of the margins of overwritten groups at each threshold."""
+    d = gate.decide(groups(spark, folder).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS)))), F.col("tau")).filter("overwritten")
+    return stats.upper_median_by(d.select("tau", "margin"), ["tau"], "margin", 0.5).select("tau", "n", F.round("margin", 4).alias("margin_p50"))
 
 
 @query("SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= (SELECT greatest(1, count(*) // 20) FROM events)")
@@ -221,30 +239,41 @@ def slowest_p5(spark: SparkSession, folder: str) -> DataFrame:
     return e.join(before, "value").withColumn("r", F.col("before") + inside).filter(F.col("r") <= k).select("event_id", "value")
 
 
-@query(
-    """WITH a AS (SELECT o_orderpriority AS tag, avg(o_totalprice) AS old FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_orderpriority AS tag, avg(o_totalprice) AS new FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
-    SELECT tag, round(old, 4) AS old, round(new, 4) AS new, round(old / new, 6) AS ratio, abs(old - new) / old < 0.05 AS within FROM a LEFT JOIN b USING (tag)"""
-)
+#: Expected values of a report and how far each metric may be off.
+EXPECTED = [("base_hit1", 0.30, 0.005), ("final_hit1", 0.35, 0.005), ("delta_pt", 5.0, 0.8), ("regression_rate", 0.05, 0.005)]
+_EXPECTED_SQL = ", ".join(f"('{name}', {value}, {tolerance})" for name, value, tolerance in EXPECTED)
+
+
+@query(f"{SWEPT_SQL}, l AS (UNPIVOT (SELECT tau, base_hit1, final_hit1, delta_pt, regression_rate FROM metrics) ON base_hit1, final_hit1, delta_pt, regression_rate INTO NAME metric VALUE actual) SELECT tau, metric, actual, expected::DOUBLE AS expected, abs(actual - expected::DOUBLE) <= tolerance::DOUBLE AS within FROM l JOIN (VALUES {_EXPECTED_SQL}) e(metric, expected, tolerance) USING (metric)")
 def report_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Two reports side by side with their ratio and a tolerance check."""
-    orders = read(spark, folder, "orders").withColumn("half", F.col("o_orderkey") % 2)
-    r = orders.groupBy(F.col("o_orderpriority").alias("tag")).agg(F.avg(F.when(F.col("half") == 0, F.col("o_totalprice"))).alias("old"), F.avg(F.when(F.col("half") == 1, F.col("o_totalprice"))).alias("new"))
-    old, new = F.col("old"), F.col("new")
-    return r.select("tag", F.round(old, 4).alias("old"), F.round(new, 4).alias("new"), F.round(old / new, 6).alias("ratio"), (F.abs(old - new) / old < 0.05).alias("within"))
+    """The metrics of a sweep beside expected values, each with a tolerance of its own."""
+    expected = spark.createDataFrame(EXPECTED, "metric string, expected double, tolerance double")
+    names = [x for x, *_ in EXPECTED]
+    flat = gate.sweep(groups(spark, folder), TAUS).select("tau", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("actual")) for c in names])))
+    return flat.join(F.broadcast(expected), "metric").select("tau", "metric", "actual", "expected", (F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")).alias("within"))  # a row for each metric
+
+
+# Configurations are the types of events: their values as recorded latencies, hits by a field of theirs.
+CONFIG_SQL = "c AS (SELECT event_type AS config, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, round(avg((CAST(json_extract_string(props, '$.k') AS INTEGER) <= 50)::INTEGER), 6) AS hit, round(avg((CAST(json_extract_string(props, '$.k') AS INTEGER) > 98)::INTEGER), 6) AS regression FROM events GROUP BY 1)"
 
 
-PICK_SQL = f"{SWEPT_SQL}, l AS (SELECT tau, 100 + 20 * tau AS p95, final_hit1, regression_rate FROM metrics)"
+def configurations(spark: SparkSession, folder: str) -> DataFrame:
+    """(config, p50, p95, hit, regression): one row for each recorded configuration."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = read(spark, folder, "events").select(F.col("event_type").alias("config"), "value", k.alias("k"))
+    return e.groupBy("config").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.round(F.avg((F.col("k") <= 50).cast("int")), 6).alias("hit"), F.round(F.avg((F.col("k") > 98).cast("int")), 6).alias("regression"))
 
 
-@query(f"{PICK_SQL} SELECT tau, p95, final_hit1 FROM l WHERE p95 < 150 ORDER BY final_hit1 DESC, p95 LIMIT 1")
+@query(f"WITH {CONFIG_SQL} SELECT config, round(p95, 6) AS p95, hit FROM c ORDER BY p95 < 200 DESC, CASE WHEN p95 < 200 THEN hit END DESC NULLS LAST, p95, config LIMIT 1")
 def pareto_pick(spark: SparkSession, folder: str) -> DataFrame:
-    """Among the configurations that are fast enough, the best one; a choice of one row of a small sweep."""
-    s = gate.sweep(groups(spark, folder), TAUS).withColumn("p95", 100 + 20 * F.col("tau"))
-    return s.filter("p95 < 150").orderBy(F.desc("final_hit1"), "p95").limit(1).select("tau", "p95", "final_hit1")
+    """Among the configurations that are fast enough the best one, else the fastest; a choice of one row of a small table."""
+    fast = F.col("p95") < 200
+    return configurations(spark, folder).orderBy(F.desc(fast), F.desc_nulls_last(F.when(fast, F.col("hit"))), "p95", "config").limit(1).select("config", F.round("p95", 6).alias("p95"), "hit")
 
 
-@query(f"{PICK_SQL} SELECT tau, p95, final_hit1 FROM l WHERE final_hit1 >= (SELECT max(final_hit1) FROM l) - 0.01 ORDER BY p95, final_hit1 DESC LIMIT 1")
+@query(f"WITH {CONFIG_SQL}, l AS (SELECT *, max(hit) OVER () AS best FROM c) SELECT config, round(p95, 6) AS p95, round(p50, 6) AS p50, hit, regression FROM l WHERE hit >= best - 0.01 AND regression <= 0.02 ORDER BY p95, p50, hit DESC, config LIMIT 1")
 def latency_choice(spark: SparkSession, folder: str) -> DataFrame:
-    """The fastest configuration within one point of the best."""
-    s = gate.sweep(groups(spark, folder), TAUS).withColumn("p95", 100 + 20 * F.col("tau")).withColumn("best", F.max("final_hit1").over(W.partitionBy(F.lit(1))))
-    return s.filter("final_hit1 >= best - 0.01").orderBy("p95", F.desc("final_hit1")).limit(1).select("tau", "p95", "final_hit1")
+    """The fastest configuration within one point of the best hits and two of regression; a choice of one row of a small table."""
+    c = configurations(spark, folder).withColumn("best", F.max("hit").over(W.partitionBy(F.lit(1))))
+    kept = c.filter("hit >= best - 0.01 AND regression <= 0.02").orderBy("p95", "p50", F.desc("hit"), "config").limit(1)
+    return kept.select("config", F.round("p95", 6).alias("p95"), F.round("p50", 6).alias("p50"), "hit", "regression")

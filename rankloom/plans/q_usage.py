@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
+from rankloom.operators import gate
+from rankloom.operators.skew import salted_lookup
 from rankloom.plans import sqltext as S
+from rankloom.plans.q_candidates import DECIDE_SQL, GROUPS_SQL, TAU_SQL, TAUS, groups
+from rankloom.plans.q_joins import ALLOW_SQL, skip_reason, skip_sql, with_eligible
 from rankloom.session import read_table as read
 
 QUERIES: dict = {}
@@ -70,21 +74,88 @@ def usage_noise(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "rerank_smoke").select("log_id", noise().alias("noise"), artifact().alias("artifact"))
 
 
+REPLAY_SQL = f"""WITH {ALLOW_SQL}, {U_SQL}, k AS (SELECT *, {S.context_key('reading')} AS r, {S.clean_context('context_prev')} AS c FROM u WHERE wanted <> ''), z AS (SELECT *, {skip_sql('true')} AS skip FROM k),
+    p AS (SELECT *, unnest([false, true]) AS guarded FROM z), gated AS (SELECT *, CASE WHEN guarded THEN CASE WHEN skip IS NOT NULL THEN skip WHEN ow AND {S.junk('shown')} AND shown <> baseline THEN 'junk_candidate' END END AS reason FROM p),
+    s AS (SELECT * REPLACE (CASE WHEN reason IS NULL THEN shown ELSE baseline END AS shown, ow AND reason IS NULL AS ow) FROM gated)"""
+
+
+def replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """The log's outcomes without guards and with them: (guarded, reason, baseline, shown, wanted, ow)."""
+    u = usage(spark, folder).filter("wanted <> ''").select("log_id", "baseline", "shown", "wanted", "ow", T.context_key_norm(F.col("reading")).alias("r"), T.clean_context(F.col("context_prev")).alias("c"))
+    u = with_eligible(spark, folder, u, "r", "log_id").withColumn("skip", skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.lit(True)))
+    both = u.withColumn("guarded", F.explode(F.array(F.lit(False), F.lit(True))))
+    junk = F.when(F.col("ow") & T.junk_surface(F.col("shown")) & (F.col("shown") != F.col("baseline")), "junk_candidate")
+    s = both.withColumn("reason", F.when(F.col("guarded"), F.coalesce("skip", junk)))
+    return s.withColumn("shown", F.when(F.col("reason").isNull(), F.col("shown")).otherwise(F.col("baseline"))).withColumn("ow", F.col("ow") & F.col("reason").isNull())
+
+
 @query(
-    f"""WITH {U_SQL}, p AS (SELECT *, unnest([false, true]) AS guarded FROM u WHERE wanted <> ''), s AS (SELECT *, CASE WHEN guarded AND (length(coalesce(reading, '')) <= 2 OR coalesce(context_prev, '') = '' OR (ow AND {S.junk('shown')})) THEN baseline ELSE shown END AS seen FROM p)
-    SELECT guarded, count(*) AS n, count(*) FILTER (WHERE seen = wanted) AS shown_hit, count(*) FILTER (WHERE baseline = wanted) AS base_hit, count(*) FILTER (WHERE seen = wanted AND baseline <> wanted) AS helped, count(*) FILTER (WHERE seen <> wanted AND baseline = wanted) AS hurt,
-    round_even((count(*) FILTER (WHERE seen = wanted) - count(*) FILTER (WHERE baseline = wanted)) * 100.0 / count(*), 1) AS net_pt FROM s GROUP BY 1"""
+    f"""{REPLAY_SQL} SELECT guarded, count(*) AS n, round_even(count(*) FILTER (WHERE shown = wanted) * 100.0 / count(*), 1) AS shown_hit, round_even(count(*) FILTER (WHERE baseline = wanted) * 100.0 / count(*), 1) AS base_hit,
+    round_even((count(*) FILTER (WHERE shown = wanted) - count(*) FILTER (WHERE baseline = wanted)) * 100.0 / count(*), 1) AS net_pt, count(*) FILTER (WHERE ow) AS overwrite, count(reason) AS guard_skip,
+    count(*) FILTER (WHERE {KIND_SQL} = 'rerank_helped') AS helped, count(*) FILTER (WHERE {KIND_SQL} = 'rerank_rejected') AS hurt FROM s GROUP BY 1"""
 )
 def usage_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """Recorded decisions with and without guards; a guarded junk overwrite falls back to the baseline."""
-    u = usage(spark, folder).filter("wanted <> ''").withColumn("guarded", F.explode(F.array(F.lit(False), F.lit(True))))
-    stop = F.col("guarded") & ((F.length(F.coalesce("reading", F.lit(""))) <= 2) | (F.coalesce("context_prev", F.lit("")) == "") | (F.col("ow") & T.junk_surface(F.col("shown"))))
-    s = u.withColumn("seen", F.when(stop, F.col("baseline")).otherwise(F.col("shown")))
-    seen, baseline, want = F.col("seen"), F.col("baseline"), F.col("wanted")
-    sums = s.groupBy("guarded").agg(
-        F.count("*").alias("n"), F.count_if(seen == want).alias("shown_hit"), F.count_if(baseline == want).alias("base_hit"), F.count_if((seen == want) & (baseline != want)).alias("helped"), F.count_if((seen != want) & (baseline == want)).alias("hurt")
-    )
-    return sums.withColumn("net_pt", F.bround((F.col("shown_hit") - F.col("base_hit")) * 100.0 / F.col("n"), 1))
+    """Recorded decisions with and without guards: a skipped request, or a junk overwrite, shows the baseline."""
+    pct = lambda c: F.bround(c * 100.0 / F.count("*"), 1)
+    hit, base = F.count_if(F.col("shown") == F.col("wanted")), F.count_if(F.col("baseline") == F.col("wanted"))
+    return replayed(spark, folder).groupBy("guarded").agg(
+        F.count("*").alias("n"), pct(hit).alias("shown_hit"), pct(base).alias("base_hit"), pct(hit - base).alias("net_pt"), F.count_if("ow").alias("overwrite"), F.count("reason").alias("guard_skip"),
+        F.count_if(kind() == "rerank_helped").alias("helped"), F.count_if(kind() == "rerank_rejected").alias("hurt"),
+    )
+
+
+@query(f"{REPLAY_SQL} SELECT guarded, {KIND_SQL} AS kind, reason, count(*) AS n FROM s GROUP BY ALL")
+def usage_replay_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Replayed outcomes by kind and by the reason of the guard."""
+    return replayed(spark, folder).groupBy("guarded", kind().alias("kind"), "reason").agg(F.count("*").alias("n"))
+
+
+POLICIES = ("none", "safety", "strict")
+POLICY_SQL = f"""WITH {ALLOW_SQL}, {GROUPS_SQL}, {DECIDE_SQL}, k AS (SELECT *, {S.context_key('reading')} AS r, {S.clean_context('context')} AS c FROM d),
+    z AS (SELECT *, {skip_sql('false')} AS safe_skip, {skip_sql('true')} AS strict_skip, coalesce(r IN (SELECT {S.context_key('reading')} FROM train WHERE reading IS NOT NULL), false) AS overlap FROM k),
+    p AS (SELECT z.*, tau, policy, CASE policy WHEN 'safety' THEN safe_skip WHEN 'strict' THEN strict_skip END AS skip FROM z, {TAU_SQL}, (SELECT unnest(['none', 'safety', 'strict']) AS policy)),
+    gated AS (SELECT *, skip IS NULL AND coalesce(rerank_top1 <> base AND margin >= tau, false) AS wins FROM p),
+    o AS (SELECT *, CASE WHEN skip IS NOT NULL THEN skip WHEN policy <> 'none' AND wins AND {S.junk('rerank_top1')} THEN 'junk_candidate' END AS reason FROM gated),
+    f AS (SELECT *, CASE WHEN wins AND reason IS NULL THEN rerank_top1 ELSE base END AS final_top1 FROM o)"""
+
+
+def policy_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every group under each policy and threshold; skip reasons and the overlap with training are found once for a group."""
+    g = groups(spark, folder).withColumn("r", T.context_key_norm(F.col("reading"))).withColumn("c", T.clean_context(F.col("context")))
+    g = with_eligible(spark, folder, g, "r", "grp")
+    seen = read(spark, folder, "train").filter("reading IS NOT NULL").select(T.context_key_norm(F.col("reading")).alias("r")).distinct().withColumn("known", F.lit(True))
+    g = salted_lookup(g, seen, ["r"], [F.col("grp")], "left").withColumn("overlap", F.coalesce("known", F.lit(False)))
+    each = g.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
+    each = each.withColumn("skip", F.when(F.col("policy") != "none", skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.col("policy") == "strict")))
+    d = gate.decide(each, F.col("tau")).withColumn("wins", F.col("skip").isNull() & F.col("overwritten"))
+    d = d.withColumn("reason", F.coalesce("skip", F.when((F.col("policy") != "none") & F.col("wins") & T.junk_surface(F.col("rerank_top1")), "junk_candidate")))
+    return d.withColumn("final_top1", F.when(F.col("wins") & F.col("reason").isNull(), F.col("rerank_top1")).otherwise(F.col("base")))
+
+
+@query(
+    f"""{POLICY_SQL}, m AS (SELECT policy, tau, count(*) AS n, round_even(count(*) FILTER (WHERE base = target) / count(*), 6) AS base_hit1, round_even(count(*) FILTER (WHERE final_top1 = target) / count(*), 6) AS final_hit1, count(*) FILTER (WHERE final_top1 <> base) AS overwrite,
+    count(*) FILTER (WHERE base <> target AND final_top1 = target) AS helped, count(*) FILTER (WHERE base = target AND final_top1 <> target) AS hurt, count(reason) AS skipped,
+    count(*) FILTER (WHERE overlap) AS overlap_n, round_even(count(*) FILTER (WHERE overlap AND final_top1 = target) / nullif(count(*) FILTER (WHERE overlap), 0), 6) AS overlap_hit1,
+    count(*) FILTER (WHERE NOT overlap) AS unseen_n, round_even(count(*) FILTER (WHERE NOT overlap AND final_top1 = target) / nullif(count(*) FILTER (WHERE NOT overlap), 0), 6) AS unseen_hit1 FROM f GROUP BY 1, 2)
+    SELECT *, round_even((final_hit1 - base_hit1) * 100, 3) AS net_pt FROM m"""
+)
+def sweep_policy_cross(spark: SparkSession, folder: str) -> DataFrame:
+    """Policies times thresholds over the same groups: hits, help and harm, skips, and hits by whether training knows the key."""
+    d = policy_decisions(spark, folder)
+    b, t, f, over = F.col("base"), F.col("target"), F.col("final_top1"), F.col("overlap")
+    share = lambda c, n: F.bround(F.count_if(c) / F.nullif(n, F.lit(0)), 6)
+    m = d.groupBy("policy", "tau").agg(
+        F.count("*").alias("n"), share(b == t, F.count("*")).alias("base_hit1"), share(f == t, F.count("*")).alias("final_hit1"), F.count_if(f != b).alias("overwrite"),
+        F.count_if((b != t) & (f == t)).alias("helped"), F.count_if((b == t) & (f != t)).alias("hurt"), F.count("reason").alias("skipped"),
+        F.count_if(over).alias("overlap_n"), share(over & (f == t), F.count_if(over)).alias("overlap_hit1"), F.count_if(~over).alias("unseen_n"), share(~over & (f == t), F.count_if(~over)).alias("unseen_hit1"),
+    )
+    return m.withColumn("net_pt", F.bround((F.col("final_hit1") - F.col("base_hit1")) * 100, 3))
+
+
+@query(f"{POLICY_SQL} SELECT policy, tau, reason, count(*) AS n FROM f WHERE reason IS NOT NULL GROUP BY ALL")
+def policy_skip_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Why groups are skipped under each policy and threshold."""
+    return policy_decisions(spark, folder).filter("reason IS NOT NULL").groupBy("policy", "tau", "reason").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -93,8 +164,6 @@ def usage_replay(spark: SparkSession, folder: str) -> DataFrame:
 )
 def usage_eval(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes by whether training knows the reading."""
-    from rankloom.operators.skew import salted_lookup
-
     seen = read(spark, folder, "train").filter("reading IS NOT NULL").select("reading").distinct().withColumn("known", F.lit(True))
     k = salted_lookup(usage(spark, folder).filter("wanted <> ''"), seen, ["reading"], [F.col("log_id")], "left")
     return k.groupBy(F.coalesce("known", F.lit(False)).alias("overlap")).agg(

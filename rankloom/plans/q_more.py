@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil, floor
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,49 +114,6 @@ def request_history(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "rerank_smoke").filter("session_id IS NOT NULL").select("log_id", F.when(F.coalesce("context_prev", none) != "", F.col("context_prev")).otherwise(past).alias("history"))
 
 
-RESERVE, ANCHORS, CORRUPT = 300, 2000, 0.02
-
-_H = "row_number() OVER (ORDER BY sha256('{0}:' || row_id::VARCHAR), row_id) - 1"
-
-
-@query(
-    f"""WITH r AS (SELECT row_id, coalesce(context_sensitive, false) AS cs, coalesce(mozc_hit1, false) AS hit FROM train), c AS (SELECT row_id, {_H.format(31)} AS p FROM r WHERE cs),
-    a AS (SELECT row_id, row_number() OVER (ORDER BY NOT hit, sha256('32:' || row_id::VARCHAR), row_id) - 1 AS p FROM r WHERE NOT cs),
-    t AS (SELECT row_id, 'sensitive' AS role FROM c WHERE p >= {RESERVE} UNION ALL SELECT row_id, 'anchor' FROM a WHERE p < {ANCHORS}), k AS (SELECT row_id, {_H.format(33)} AS p FROM t WHERE role = 'anchor')
-    SELECT t.row_id, role, coalesce(k.p < round_even((SELECT count(*) FROM t) * {CORRUPT}, 0), false) AS corrupted FROM t LEFT JOIN k USING (row_id)"""
-)
-def assemble_train(spark: SparkSession, folder: str) -> DataFrame:
-    """A training set: context-sensitive rows beyond an evaluation reserve, anchors with hits first, a few corrupted anchors."""
-    rows = read(spark, folder, "train").select("row_id", F.coalesce("context_sensitive", F.lit(False)).alias("cs"), F.coalesce("mozc_hit1", F.lit(False)).alias("hit"))
-    sensitive = D.hash_rank(rows.filter("cs").select("row_id"), [], "row_id", 31).filter(F.col("hash_rank") >= RESERVE).select("row_id", F.lit("sensitive").alias("role"))
-    anchors = rows.filter("NOT cs").orderBy(~F.col("hit"), D.sha_order("row_id", 32), "row_id").limit(ANCHORS).select("row_id", F.lit("anchor").alias("role"))
-    chosen = sensitive.unionByName(anchors)
-    n = round(chosen.count() * CORRUPT)
-    spoiled = D.hash_rank(anchors.select("row_id"), [], "row_id", 33).filter(F.col("hash_rank") < n).select("row_id", F.lit(True).alias("c"))
-    return chosen.join(spoiled, "row_id", "left").select("row_id", "role", F.coalesce("c", F.lit(False)).alias("corrupted"))
-
-
-@query(
-    f"""WITH r AS (SELECT row_id, coalesce(context_sensitive, false) AS cs, coalesce(mozc_hit1, false) AS hit, coalesce(context_prev, '') <> '' AS context FROM train WHERE gold_in_nbest), c AS (SELECT row_id, {_H.format(31)} AS p FROM r WHERE cs),
-    a AS (SELECT row_id, context, row_number() OVER (ORDER BY NOT hit, sha256('32:' || row_id::VARCHAR), row_id) - 1 AS p FROM r WHERE NOT cs),
-    s AS (SELECT greatest(0, count(*) - {RESERVE}) AS n FROM c), z AS (SELECT least(greatest(round_even(n / 0.35, 0), ceil(n / 0.40)), floor(n / 0.30)) - n AS wanted FROM s),
-    t AS (SELECT row_id, 'sensitive' AS role FROM c WHERE p >= {RESERVE} UNION ALL SELECT row_id, 'anchor' FROM a, z WHERE p < wanted), k AS (SELECT row_id, {_H.format(33)} AS p FROM a, z WHERE a.p >= wanted AND context)
-    SELECT row_id, role, false AS corrupted FROM t UNION ALL SELECT row_id, 'anchor', true FROM k WHERE p < round_even((SELECT count(*) FROM t) * {CORRUPT}, 0)"""
-)
-def assemble_sized(spark: SparkSession, folder: str) -> DataFrame:
-    """A training set over rows with the gold among the candidates: as many anchors, hits first, as make context-sensitive rows 30 to 40 %, and unused anchors with a context to corrupt."""
-    rows = read(spark, folder, "train").filter("gold_in_nbest").select("row_id", F.coalesce("context_sensitive", F.lit(False)).alias("cs"), F.coalesce("mozc_hit1", F.lit(False)).alias("hit"), (F.coalesce("context_prev", F.lit("")) != "").alias("context"))
-    sensitive = D.hash_rank(rows.filter("cs").select("row_id"), [], "row_id", 31).filter(F.col("hash_rank") >= RESERVE).select("row_id", F.lit("sensitive").alias("role"))
-    n = sensitive.count()
-    wanted = int(min(max(round(n / 0.35), ceil(n / 0.40)), floor(n / 0.30))) - n
-    others = rows.filter("NOT cs")
-    hits = others.filter("hit").count()
-    ranked = D.hash_rank(others, ["hit"], "row_id", 32).withColumn("p", F.col("hash_rank") + F.when(F.col("hit"), 0).otherwise(hits))
-    chosen = sensitive.unionByName(ranked.filter(F.col("p") < wanted).select("row_id", F.lit("anchor").alias("role")))
-    spoiled = D.hash_rank(ranked.filter((F.col("p") >= wanted) & F.col("context")).select("row_id"), [], "row_id", 33).filter(F.col("hash_rank") < round(chosen.count() * CORRUPT))
-    return chosen.withColumn("corrupted", F.lit(False)).unionByName(spoiled.select("row_id", F.lit("anchor").alias("role"), F.lit(True).alias("corrupted")))
-
-
 @query(f"WITH {GROUPS_SQL}, e AS (SELECT grp, unnest(scores) AS s, generate_subscripts(scores, 1) AS i FROM g) SELECT grp, count(*) AS n, round(sum(s * i), 6) AS weighted FROM e GROUP BY 1")
 def zip_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Groups flattened to (group, place, score) and put together again by place."""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.operators import dedup as D
 from rankloom.operators import splits
+from rankloom.operators.assembly import with_place
 from rankloom.plans.q_text import T_fraction, fraction_sql
 from rankloom.session import read_table as read
 
@@ -35,8 +35,8 @@ def split_group_holdout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, coalesce(source LIKE 'news_fresh%', false) AS fresh FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('5:' || doc_id::VARCHAR), doc_id) - 1 AS p, count(*) OVER () AS n FROM d WHERE NOT fresh),
-    q AS (SELECT doc_id, p, greatest(1, floor(n * 0.8)) AS t, n FROM r)
+    """WITH d AS (SELECT doc_id, coalesce(starts_with(source, 'news_fresh'), false) AS fresh FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('5:' || doc_id::VARCHAR), doc_id) - 1 AS p, count(*) OVER () AS n FROM d WHERE NOT fresh),
+    q AS (SELECT doc_id, p, greatest(1, floor(n * 0.8::DOUBLE)) AS t, n FROM r)
     SELECT doc_id, CASE WHEN p < t THEN 'train' WHEN p < t + CASE WHEN n > t THEN greatest(1, (n - t) // 2) ELSE 0 END THEN 'unseen' ELSE 'unused' END AS split FROM q UNION ALL SELECT doc_id, 'fresh' FROM d WHERE fresh"""
 )
 def split_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,11 +57,9 @@ def split_docs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def split_usage_tail(spark: SparkSession, folder: str) -> DataFrame:
     """The last outcomes of each key are held out; a single one by its hash."""
-    log = read(spark, folder, "rerank_smoke").filter("reading IS NOT NULL").select("log_id", "reading")
-    own = W.partitionBy("reading")
-    g = log.withColumn("p", F.row_number().over(own.orderBy("log_id"))).withColumn("n", F.count("*").over(own))
+    g = with_place(read(spark, folder, "rerank_smoke").filter("reading IS NOT NULL").select("log_id", "reading"), "reading", "log_id")
     n = F.col("n")
-    tail = F.col("p") > n - F.least(n - 1, F.greatest(F.lit(1), F.bround(n * 0.2, 0)))
+    tail = F.col("place") >= n - F.least(n - 1, F.greatest(F.lit(1), F.bround(n * 0.2, 0)))
     return g.select("log_id", F.when(n == 1, T_fraction("reading", 9) < 0.2).otherwise(tail).alias("held"))
 
 
@@ -99,9 +97,8 @@ def sample_anchors(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sample_cycle(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced oversampling: in each round every key gives its next row, from the start again when it has no more."""
-    own = W.partitionBy("reading")
-    g = read(spark, folder, "rerank_smoke").filter("reading IS NOT NULL").select("log_id", "reading", (F.row_number().over(own.orderBy("log_id")) - 1).alias("p"), F.count("*").over(own).alias("n"))
-    rounds = F.filter(F.array(*[F.lit(i) for i in range(3)]), lambda r: F.pmod(r, F.col("n")) == F.col("p"))
+    g = with_place(read(spark, folder, "rerank_smoke").filter("reading IS NOT NULL").select("log_id", "reading"), "reading", "log_id")
+    rounds = F.filter(F.array(*[F.lit(i) for i in range(3)]), lambda r: F.pmod(r, F.col("n")) == F.col("place"))
     return g.select(F.explode(rounds).alias("round"), "reading", "log_id")
 
 

@@ -147,3 +147,29 @@ def test_hot_join(spark):
     for hot in (3, 1000):
         assert sorted(map(tuple, hot_join(left, right, ["k"], F.col("b"), hot).select("k", "a", "b").collect())) == wanted
     assert hot_join(left, right.limit(0), ["k"], F.col("b")).count() == 0
+
+
+def test_cycled_rows(spark):
+    from rankloom.operators import assembly
+
+    rows = spark.createDataFrame([(i, "a" if i < 4 else "b") for i in range(5)] + [(9000, "c")], "i bigint, k string")
+    got = [(r["round"], r["k"], r["i"]) for r in assembly.cycled(rows, "k", "i", 8, 1).collect()]
+    assert len(got) == 8 and all(sum(x[0] == r for x in got) == n for r, n in ((0, 3), (1, 3), (2, 2)))
+    assert sorted(x for x in got if x[1] == "a")[:2] == [(0, "a", 0), (1, "a", 1)] and {x for x in got if x[1] == "c"} >= {(0, "c", 9000), (1, "c", 9000)}
+    assert assembly.cycled(rows.limit(0), "k", "i", 8, 1).count() == 0 and assembly.cycled(rows, "k", "i", 0, 1).count() == 0
+
+
+def test_sets_of_few_rows(spark):
+    from rankloom.operators import assembly
+
+    rows = spark.createDataFrame([(i, i < 3, i % 2 == 0, True) for i in range(9)], "row_id bigint, sensitive boolean, hit boolean, context boolean")
+    sizes = assembly.Sizes(evaluation=3, least_train=1, least_evaluation=1)
+    train, seen = assembly.train_set(rows, "row_id", sizes, 1)
+    train, seen = [r["row_id"] for r in train.collect()], [r["row_id"] for r in seen.collect()]
+    assert len(train) == len(set(train)) and len(seen) == 3 and not set(train) & set(seen)
+    assert sum(x < 3 for x in train) == 2 and sum(x < 3 for x in seen) == 1
+    assert assembly.train_set(rows.limit(0), "row_id", sizes, 1)[0].count() == 0
+    assert assembly.evaluation_set(rows.limit(0), "row_id", sizes, 5).count() == 0
+    assert {r["role"] for r in assembly.evaluation_set(rows.filter("sensitive"), "row_id", sizes, 5).collect()} == {"sensitive", "fill"}
+    usage = spark.createDataFrame([(i, i < 2) for i in range(6)], "i bigint, a boolean")
+    assert sorted(r["role"] for r in assembly.anchored_sample(usage, "i", "a", 5, 0.7, 3).collect()) == ["anchor"] * 2 + ["residual"] * 3

@@ -16,10 +16,14 @@ def test_query_equals_its_sql(spark, con, folder, name):
     check(spark, con, folder, registry.queries()[name], SQL[name])
 
 
+@pytest.mark.parametrize("name", [x for x in sorted(SQL) if x.startswith("assemble")] + ["usage_mix"])
+def test_assembly_at_a_larger_scale(spark, name):
+    larger = "/root/testdata/sf0.01"  # the smallest tables hardly have more rows than the reserve
+    check(spark, connect(larger), larger, registry.queries()[name], SQL[name])
+
+
 def test_sensitive_rows_have_their_share(spark):
-    larger = "/root/testdata/sf0.01"  # sf0.001 has no row beyond the reserve
-    check(spark, connect(larger), larger, registry.queries()["assemble_sized"], SQL["assemble_sized"])
-    rows = registry.queries()["assemble_sized"](spark, larger).filter("NOT corrupted").collect()
+    rows = registry.queries()["assemble_train"](spark, "/root/testdata/sf0.01").filter("NOT corrupted").collect()
     assert 0.3 <= sum(r["role"] == "sensitive" for r in rows) / len(rows) <= 0.4
 
 

@@ -40,7 +40,7 @@ ROWS_SQL = f"""t AS (SELECT *, coalesce('d' || doc_id, 'r' || row_id) AS doc FRO
     docs AS (SELECT doc, starts_with(arg_min(coalesce(source, ''), row_id), 'news_fresh') AS fresh FROM t GROUP BY 1),
     pool AS (SELECT doc, row_number() OVER (ORDER BY {_order(5, 'doc', 'doc')}) - 1 AS p, count(*) OVER () AS n FROM docs WHERE NOT fresh),
     cut AS (SELECT doc, p, n, greatest(1, floor(n * {SIZES.train_share}::DOUBLE)) AS k FROM pool),
-    placed AS (SELECT doc, CASE WHEN p < k THEN 'train' WHEN p < k + CASE WHEN n > k THEN greatest(1, (n - k) // 2) ELSE 0 END THEN 'unseen' ELSE 'unused' END AS split FROM cut UNION ALL SELECT doc, 'fresh' FROM docs WHERE fresh),
+    placed AS (SELECT doc, CASE WHEN p < k THEN 'train' WHEN p < k + CASE WHEN n > k THEN greatest(1, floor((n - k) / 2)) ELSE 0 END THEN 'unseen' ELSE 'unused' END AS split FROM cut UNION ALL SELECT doc, 'fresh' FROM docs WHERE fresh),
     u AS (SELECT row_id, split, reading, gold, context_prev, coalesce(context_sensitive, false) AS sensitive, coalesce(mozc_hit1, false) AS hit, coalesce(ambiguous, false) AS ambiguous, coalesce(context_prev, '') <> '' AS context, coalesce(top_gold_share, 1.0) AS share FROM t JOIN placed USING (doc) WHERE gold_in_nbest),
     tc AS (SELECT row_id, {_place(31)} AS p FROM u WHERE split = 'train' AND sensitive), ta AS (SELECT row_id, hit, context, {_place(32, 'NOT hit, ')} AS p FROM u WHERE split = 'train' AND NOT sensitive),
     z0 AS (SELECT count(*) AS c, CASE WHEN count(*) - {RESERVE} >= {SIZES.least_train} THEN {RESERVE} ELSE greatest(0, count(*) - {SIZES.least_train}) END AS kept FROM tc), z1 AS (SELECT kept, c - kept AS n FROM z0),

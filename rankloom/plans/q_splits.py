@@ -37,7 +37,7 @@ def split_group_holdout(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """WITH d AS (SELECT doc_id, coalesce(starts_with(source, 'news_fresh'), false) AS fresh FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('5:' || doc_id::VARCHAR), doc_id) - 1 AS p, count(*) OVER () AS n FROM d WHERE NOT fresh),
     q AS (SELECT doc_id, p, greatest(1, floor(n * 0.8::DOUBLE)) AS t, n FROM r)
-    SELECT doc_id, CASE WHEN p < t THEN 'train' WHEN p < t + CASE WHEN n > t THEN greatest(1, (n - t) // 2) ELSE 0 END THEN 'unseen' ELSE 'unused' END AS split FROM q UNION ALL SELECT doc_id, 'fresh' FROM d WHERE fresh"""
+    SELECT doc_id, CASE WHEN p < t THEN 'train' WHEN p < t + CASE WHEN n > t THEN greatest(1, floor((n - t) / 2)) ELSE 0 END THEN 'unseen' ELSE 'unused' END AS split FROM q UNION ALL SELECT doc_id, 'fresh' FROM d WHERE fresh"""
 )
 def split_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents into train, unseen, fresh and unused."""

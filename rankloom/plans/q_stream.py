@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import scoring
 from rankloom.operators import candidates as C
-from rankloom.operators import gate
-from rankloom.plans.q_candidates import groups
+from rankloom.operators import chain, gate
+from rankloom.plans import sqltext as S
+from rankloom.plans.q_candidates import GROUPS_SQL, groups
+from rankloom.plans.q_joins import ALLOW_SQL, skip_reason, skip_sql, with_eligible
 from rankloom.session import ensure_checkpoint_dir
 from rankloom.session import read_table as read
 from rankloom.sources import json_lines, tab_separated
@@ -66,7 +68,18 @@ def xml_scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("id bigint, title string").option("rowTag", "doc").xml(path)
 
 
-@query()
+def score_sql(reading: str, candidate: str) -> str:
+    """The score of ``scoring.overlap_scorer`` for a reading and a candidate."""
+    chars = lambda x: f"list_distinct(string_split({x}, ''))"
+    a, b = f"('読み: ' || coalesce({reading}, ''))", f"('候補: ' || coalesce({candidate}, ''))"
+    return f"(len(list_intersect({chars(b)}, {chars(a)})) - length({b}) / 100.0)::DOUBLE"
+
+
+SCORED_SQL = f"""raw AS (SELECT *, generate_subscripts(cands, 1) AS i, unnest(cands) AS cand FROM g), each AS (SELECT *, {score_sql('reading', 'cand')} AS s FROM raw),
+    b AS (SELECT grp, any_value(base) AS base, any_value(cands) AS cands, arg_max(i, (s, -i))::INTEGER AS rerank_index, max(s) - arg_min(s, CASE WHEN cand = base THEN i ELSE 1000000 + i END) AS margin FROM each GROUP BY 1)"""
+
+
+@query(f"WITH {GROUPS_SQL}, {SCORED_SQL}, d AS (SELECT grp, base, cands[rerank_index] AS rerank_top1, round(margin, 6) AS margin, cands[rerank_index] <> base AND margin >= 0.5 AS overwritten FROM b) SELECT grp, rerank_top1, margin, overwritten, CASE WHEN overwritten THEN rerank_top1 ELSE base END AS final_top1 FROM d")
 def scorer_udf(spark: SparkSession, folder: str) -> DataFrame:
     """Every group scored by an Arrow UDF, then decided."""
     g = groups(spark, folder).select("grp", "reading", "context", "cands", "base", "target")
@@ -74,6 +87,36 @@ def scorer_udf(spark: SparkSession, folder: str) -> DataFrame:
     return gate.decide(scored, F.lit(0.5)).select("grp", "rerank_top1", F.round("margin", 6).alias("margin"), "overwritten", "final_top1")
 
 
+TAU, CAP = 0.5, 30
+CHAIN_SQL = f"""WITH {ALLOW_SQL}, n AS (SELECT log_id, {S.context_key('reading')} AS r, {S.clean_context('context_prev')} AS c, list_filter(coalesce(nbest, []), lambda x: x <> '')[1:{CAP}] AS cands FROM rerank_smoke),
+    f AS (SELECT *, cands[1] AS base, CASE WHEN coalesce(r, '') = '' THEN 'reading required' WHEN len(cands) = 0 THEN 'nbest required' END AS fault, {skip_sql('true')} AS guard FROM n), w AS (SELECT *, coalesce(fault, guard) AS stop FROM f),
+    raw AS (SELECT *, generate_subscripts(cands, 1) AS i, unnest(cands) AS cand FROM w WHERE stop IS NULL), each AS (SELECT *, {score_sql('r', 'cand')} AS s FROM raw),
+    b AS (SELECT log_id, arg_max(cand, (s, -i)) AS best, round(max(s) - arg_min(s, CASE WHEN cand = base THEN i ELSE 1000000 + i END), 6) AS margin, list(cand ORDER BY s DESC, i) AS order_ FROM each GROUP BY 1),
+    d AS (SELECT w.*, best, margin, order_, coalesce(best <> base AND margin >= {TAU}, false) AS over FROM w LEFT JOIN b USING (log_id)), e AS (SELECT *, over AND {S.junk('best')} AS junk FROM d), k AS (SELECT *, CASE WHEN over AND NOT junk THEN best ELSE base END AS final FROM e)
+    SELECT log_id, base, CASE WHEN fault IS NULL THEN coalesce(best, base) END AS rerank_top1, CASE WHEN fault IS NULL THEN final END AS final_top1, over AND NOT junk AS overwritten, margin,
+    CASE WHEN stop IS NOT NULL THEN stop WHEN junk THEN 'junk_candidate' WHEN best = base THEN 'same_top1' WHEN over THEN 'overwrite' ELSE 'below_tau' END AS reason, stop IS NOT NULL AS guard_skip,
+    CASE WHEN fault IS NOT NULL THEN NULL WHEN stop IS NOT NULL THEN array_to_string(cands, '|') ELSE array_to_string(list_concat([final], list_filter(order_, lambda x: x <> final)), '|') END AS ranked FROM k"""
+
+
+def _decided(spark: SparkSession, folder: str, log: DataFrame) -> DataFrame:
+    n = chain.normalised(log.select("log_id", "reading", "context_prev", "nbest"), "reading", "context_prev", "nbest", CAP)
+    n = with_eligible(spark, folder, n, "r", "log_id")
+    d = chain.answer(n, skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.lit(True)), scoring.overlap_scorer, TAU)
+    return d.select("log_id", "base", "rerank_top1", "final_top1", "overwritten", F.round("margin", 6).alias("margin"), "reason", "guard_skip", F.array_join("ranked", "|").alias("ranked"))
+
+
+@query(CHAIN_SQL)
+def decide_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole decision of every logged request."""
+    return _decided(spark, folder, read(spark, folder, "rerank_smoke"))
+
+
+@query(CHAIN_SQL)
+def stream_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same chain over the log as a stream, with the allow-list as a table beside it."""
+    return runs.run_once(_decided(spark, folder, runs.stream_table(spark, folder, "rerank_smoke")))
+
+
 @query("SELECT DISTINCT o_orderpriority AS key, o_orderpriority AS candidates FROM orders")
 def external_pipe(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct keys through an external program."""
@@ -82,18 +125,29 @@ def external_pipe(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.convert_external(keys, "o_orderpriority", [sys.executable, "-c", program]).select("key", F.array_join("candidates", "|").alias("candidates"))
 
 
-@query()
+_T, _B = 1_000_000_000_000, 1_000_000  # a state is tier x _T + timeouts in a row x _B + successes in a row
+_TIER, _BAD, _GOOD = f"(a // {_T})", f"((a % {_T}) // {_B})", f"(a % {_B})"
+LADDER_SQL = f"""list_reduce(xs, lambda a, x: CASE WHEN x = 1
+    THEN CASE WHEN {_BAD} + 1 >= {ladder.STEP} AND {_TIER} < {ladder.TOP} THEN ({_TIER} + 1) * {_T} ELSE {_TIER} * {_T} + ({_BAD} + 1) * {_B} END
+    ELSE CASE WHEN {_GOOD} + 1 >= {ladder.STEP} AND {_TIER} > 0 THEN ({_TIER} - 1) * {_T} ELSE {_TIER} * {_T} + {_GOOD} + 1 END END, 0::BIGINT)"""
+
+
+def _ladder_sql(order: str, columns: str) -> str:
+    return f"WITH e AS (SELECT user_id, list((value > 20)::BIGINT ORDER BY {order}) AS xs FROM events GROUP BY 1), s AS (SELECT user_id, {LADDER_SQL} AS a FROM e), t AS (SELECT user_id, {_TIER}::INTEGER AS tier, {_BAD}::INTEGER AS bad, {_GOOD}::INTEGER AS good FROM s) SELECT {columns} FROM t"
+
+
+@query(_ladder_sql("ts, event_id", "*, CASE WHEN tier >= 1 THEN 15 ELSE 30 END AS cand_cap, CASE WHEN tier >= 3 THEN 0 WHEN tier >= 2 THEN 20 ELSE 50 END AS context_chars, tier >= 4 AS off"))
 def degrade_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """The tier of each client after its outcomes; slow events count as timeouts."""
     t = ladder.tiers(read(spark, folder, "events"), "user_id", ["ts", "event_id"], F.col("value") > 20)
     return t.select("user_id", "tier", "bad", "good", *ladder.limits(F.col("tier"), F.lit(30), F.lit(50)))
 
 
-@query()
+@query(_ladder_sql("event_id", "user_id, tier"))
 def degrade_ladder_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same from a stream with state by client."""
     events = runs.stream_table(spark, folder, "events").select("user_id", "event_id", (F.col("value") > 20).alias("timeout"))
-    return runs.run_once(ladder.tier_stream(events, "user_id", "event_id"), "update")
+    return runs.run_once(ladder.tier_stream(events, "user_id", "event_id"), "update", ["user_id"])
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

@@ -50,7 +50,7 @@ def limits(tier: Column, candidates: Column, context: Column) -> list[Column]:
 
 def tiers(df: DataFrame, client: str, order: list[str], timeout: Column) -> DataFrame:
     """(client, tier, bad, good) after all of a client's outcomes."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, timeout.alias("timeout"))))
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(timeout, F.lit(False)).alias("timeout"))))
     return df.groupBy(client).agg(fold(F.transform(rows, lambda x: x["timeout"])).alias("s")).select(client, "s.*")
 
 
@@ -66,9 +66,9 @@ def tier_stream(events: DataFrame, client: str, order: str) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tier, bad, good = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(order)
-        for timeout in rows["timeout"]:
-            tier, bad, good = step(tier, bad, good, bool(timeout))
+        rows = pd.concat([batch[[order, "timeout"]] for batch in batches]).sort_values(order)
+        for timeout in rows["timeout"].fillna(False).tolist():
+            tier, bad, good = step(tier, bad, good, timeout)
         state.update((tier, bad, good))
         yield pd.DataFrame({client: [key[0]], "tier": [tier]})
 

@@ -8,7 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rankloom.operators.dedup import wins
 from rankloom.session import ensure_checkpoint_dir, ship_package
 
 
@@ -22,14 +24,16 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Process what is there and give the written rows back as a table of the shared folder.
 
-    The checkpoint lies beside it, so a lost run goes on where it stopped.  Complete and update modes write the last
-    state of every micro-batch through ``foreachBatch``.
+    The checkpoint lies beside it, so a lost run goes on where it stopped.  In complete mode the last micro-batch holds
+    everything; in update mode the last row of each of ``keys`` counts, whatever micro-batch it came from.
     """
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
@@ -39,7 +43,13 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    if not spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")):
+        return spark.createDataFrame([], stream.schema)
+    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
+    if keys:
+        return wins(written, keys, "batch", last=True).drop("batch")
+    last = written.agg(F.max("batch")).first()[0]
+    return written.filter(F.col("batch") == last).drop("batch")
 
 
 def windows(events: DataFrame, time: str, keys: list[str], length: str, late: str, *measures: tuple[str, Column]) -> DataFrame:

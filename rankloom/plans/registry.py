@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_text", "q_candidates", "q_joins", "q_reports", "q_splits", "q_usage", "q_more", "q_assembly", "q_stream")
+MODULES = ("q_text", "q_candidates", "q_joins", "q_reports", "q_splits", "q_usage", "q_more", "q_assembly", "q_stream", "q_sources")
 
 
 def _parts() -> list:

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import key_norm, valid_key, weak_surface
 from rankloom.operators.dedup import wins
+from rankloom.operators.prefix import running_total
 
 # Town names that stand for no town.
 NO_TOWN = ("以下に掲載がない場合", "一円", "番地がくる場合")
@@ -73,30 +75,61 @@ def read_legacy_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
 
 
-def public_domain(index: DataFrame) -> DataFrame:
-    """Works whose both copyright flags say none and whose text is a zip; the author's names are joined."""
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a catalogue: the one CSV of a zip, its first line naming the columns."""
+    rows = read_zip_csv(spark, path, 1)
+    names = rows.orderBy("line").limit(1).collect()[0]["fields"]
+    return rows.filter("line > 0").select(*[F.get("fields", F.lit(i)).alias(name.lstrip("\ufeff")) for i, name in enumerate(names)])
+
+
+def public_domain(index: DataFrame, author: str | None = None) -> DataFrame:
+    """Works whose both copyright flags say none and whose text is a zip; the author's names are joined and may be searched."""
     free = (F.col("作品著作権フラグ") == "なし") & (F.col("人物著作権フラグ") == "なし") & F.col("テキストファイルURL").endswith(".zip")
-    return index.filter(free).select(F.col("作品ID").alias("work_id"), F.col("作品名").alias("title"), F.concat("姓", "名").alias("author"), F.col("テキストファイルURL").alias("url"))
+    works = index.filter(free).select(F.col("作品ID").alias("work_id"), F.col("作品名").alias("title"), F.concat("姓", "名").alias("author"), F.col("テキストファイルURL").alias("url"))
+    return works.filter(F.contains("author", F.lit(author))) if author else works
 
 
-def read_dump(spark: SparkSession, path: str, least: int = 80) -> DataFrame:
-    """(title, text) of a dump of <doc> elements: long enough, with a sentence, outside of name spaces."""
-    docs = spark.read.schema("title string, abstract string, url string").option("rowTag", "doc").xml(path)
-    title = F.regexp_replace("title", "^Wikipedia: *", "")
-    return docs.select(title.alias("title"), F.col("abstract").alias("text"), "url").filter((F.length("text") >= least) & F.contains("text", F.lit("。")) & ~F.col("title").rlike("^(?:Category|Template|File|Portal|Help|カテゴリ|ファイル):"))
+# Name spaces of a dump that hold no articles.
+SPACES = ("利用者:", "Template:", "ファイル:", "Category:", "Wikipedia:")
 
 
-def read_feed(spark: SparkSession, path: str, tag: str = "item", least: int = 40) -> DataFrame:
-    """(doc_id, title, text, link) of feed entries without tags, one for each link (else title), numbered in link order."""
-    items = spark.read.schema("title string, description string, summary string, link string").option("rowTag", tag).xml(path)
-    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
-    body = items.select(plain(F.col("title")).alias("title"), plain(F.coalesce("description", "summary")).alias("body"), F.trim("link").alias("link"))
-    whole = body.withColumn("text", F.concat_ws("。", F.nullif("title", F.lit("")), F.nullif("body", F.lit("")))).filter(F.length("text") >= least)
-    one = wins(whole.withColumn("k", F.coalesce(F.nullif("link", F.lit("")), "title")), ["k"], "text")
-    from rankloom.operators.prefix import hash_bucket, running_total
+def read_dump(spark: SparkSession, path: str, least: int = 80, most: int = 0) -> DataFrame:
+    """(doc_id, title, text) of a dump of <doc> elements: long enough, with a sentence, outside of name spaces.
 
-    numbered = running_total(one.withColumn("_b", hash_bucket(64, 1, F.col("k"))).withColumn("_1", F.lit(1)), [], "_b", [F.col("k")], "_1", "n")
-    return numbered.select(F.concat(F.lit("doc_"), F.lpad((F.col("n") + 1).cast("string"), 5, "0")).alias("doc_id"), "title", "text", "link")
+    White space is one blank, the text ends with a full stop, the id comes from the url; ``most`` stops early.
+    """
+    docs = spark.read.schema("title string, abstract string, url string").option("rowTag", "doc").xml(path)
+    text = F.regexp_replace(F.trim(F.regexp_replace("abstract", r"(?U)\s+", " ")), r"^ | $", "")
+    rows = docs.select(F.concat(F.lit("wiki_"), F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/"), -1)).alias("doc_id"), F.regexp_replace(F.trim("title"), r"^Wikipedia:\s*", "").alias("title"), text.alias("text"))
+    article = (F.length("text") >= least) & F.contains("text", F.lit("。"))
+    for space in SPACES:
+        article = article & ~F.coalesce(F.col("title").startswith(space), F.lit(False))
+    kept = rows.filter(article).withColumn("text", F.when(F.col("text").endswith("。"), F.col("text")).otherwise(F.concat("text", F.lit("。"))))
+    return kept.limit(most) if most else kept
+
+
+def articles(df: DataFrame, title: str, text: str, least: int = 120, cut: int = 1500, ends: int = 2) -> DataFrame:
+    """(title, text) of an article stream: long enough, cut, and with sentences left; the cut is the operator's feature."""
+    trimmed = df.select(F.col(title).alias("title"), F.trim(text).alias("text")).filter(F.length("text") >= least).withColumn("text", F.left("text", F.lit(cut)))
+    return trimmed.filter(F.length("text") - F.length(F.replace("text", F.lit("。"))) >= ends)
+
+
+def read_feed(spark: SparkSession, path: str, tag: str = "item", least: int = 40, source: str = "doc", most: int = 0) -> DataFrame:
+    """(doc_id, title, text, link) of feed entries without tags, the first of each link (else title), numbered in feed order."""
+    schema = "title string, description string, summary string, content string, link string"
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    items = spark.read.schema(schema).option("rowTag", tag).xml(path).select("*", order.alias("o"))
+    none = F.lit("")
+    title = F.trim(F.coalesce("title", none))
+    body = F.regexp_replace(F.trim(F.coalesce(F.nullif("description", none), F.nullif("summary", none), "content", none)), "<[^>]+>", "")
+    whole = items.select(title.alias("title"), F.concat(F.regexp_replace(F.concat(title, F.lit("。"), body), "^。+|。+$", ""), F.lit("。")).alias("text"), F.trim(F.coalesce("link", none)).alias("link"), "o")
+    one = wins(whole.filter(F.length("text") >= least).withColumn("k", F.coalesce(F.nullif("link", none), "title")), ["k"], "o")
+    # Places in feed order: the order of files and blocks is a small table, so each entry counts the ones before it in its block only.
+    block = F.dense_rank().over(W.orderBy("file", "block"))
+    blocks = one.select("o.file", "o.block").distinct().withColumn("_b", block - 1)
+    numbered = running_total(one.withColumn("file", F.col("o.file")).withColumn("block", F.col("o.block")).join(blocks, ["file", "block"]).withColumn("_1", F.lit(1)), [], "_b", [F.col("o")], "_1", "n")
+    kept = numbered.filter(F.col("n") < most) if most else numbered
+    return kept.select(F.concat(F.lit(f"{source}_"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("doc_id"), "title", "text", "link")
 
 
 def context_documents(df: DataFrame, work: str, context: str, order: str, least: int = 80) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.functions.text import strip
+
 PROVENANCE = "struct<source_id: string, source_url: string, license_id: string, retrieved_at: string, source_version: string>"
 TERM = f"surface string, reading string, category string, provenance {PROVENANCE}, reading_source string, reading_confidence string, aliases array<string>, metadata map<string, string>"
+TERM_FIELDS = f"surface: string, reading: string, category: string, provenance: {PROVENANCE}, reading_source: string, reading_confidence: string, aliases: array<string>, metadata: map<string, string>"
 LOG = "ts string, reading string, nbest array<string>, chosen string, context_prev string, rerank_top1 string, final_top1 string, overwritten boolean, tau double, scores array<double>, session_id string, source string"
 
 
@@ -34,6 +37,24 @@ def read_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _objects(spark, path).filter(good).select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
+def first_rows(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """The first rows in an order; zero means all of them."""
+    return rows.orderBy(order).limit(most) if most else rows
+
+
+def read_pairs(spark: SparkSession, classified: str, raw: str) -> DataFrame:
+    """(reading, surface, candidates, source, category): classified rows with their candidates, raw terms with unknown ones.
+
+    A row holds the record itself or under ``record``; blank readings and surfaces are dropped, empty candidates too.
+    """
+    parts = []
+    for path, known in ((classified, True), (raw, False)):
+        rows = records(read_strict(spark, path, f"{TERM}, record struct<{TERM_FIELDS}>, candidates array<string>"))
+        candidates = F.filter(F.coalesce("candidates", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")) if known else F.lit(None).cast("array<string>")
+        parts.append(rows.select(strip(F.col("reading")).alias("reading"), strip(F.col("surface")).alias("surface"), candidates.alias("candidates"), F.col("provenance.source_id").alias("source"), F.coalesce("category", F.lit("")).alias("category")))
+    return parts[0].unionByName(parts[1]).filter("reading <> '' AND surface <> ''")
+
+
 def read_requests(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object, one array of objects, or JSON Lines; which of them is seen from the first character."""
     first = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''").limit(1).collect()

@@ -30,31 +30,55 @@ class Page(InputPartition):
         self.number = number
 
 
+def fetch_page(template: str, number: int) -> list | None:
+    """The bindings of a page, a file or URL of JSON; null for a page that is not there."""
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    place = template.replace("{page}", str(number))
+
+    def fetch() -> str:
+        if "://" in place and not place.startswith("file:"):
+            try:
+                with urlopen(place, timeout=60) as answer:
+                    return answer.read().decode("utf-8")
+            except HTTPError as error:
+                if error.code == 404:
+                    raise FileNotFoundError(place) from error
+                raise
+        with open(place.removeprefix("file://").removeprefix("file:"), encoding="utf-8") as answer:
+            return answer.read()
+
+    try:
+        return json.loads(with_retries(fetch, attempts=3, delay=0.05))["results"]["bindings"]
+    except FileNotFoundError:
+        return None
+
+
+def last_page(full: Callable[[int], bool]) -> int:
+    """The number of pages up to the first that is not full, that one included, by doubling and halving."""
+    if not full(0):
+        return 1
+    low, high = 0, 1
+    while full(high):
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if full(middle) else (low, middle)
+    return high + 1
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.template, self.pages = options["template"], int(options.get("pages", "1"))
+        self.template, self.pages, self.size = options["template"], int(options.get("pages", "0")), int(options.get("size", "0"))
 
     def partitions(self) -> list[Page]:
-        return [Page(i) for i in range(self.pages)]
+        """One for each page; without a number of pages the first page with fewer than ``size`` bindings is the last."""
+        pages = self.pages or last_page(lambda i: len(fetch_page(self.template, i) or ()) >= max(self.size, 1))
+        return [Page(i) for i in range(pages)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        """Each page is a file or URL of JSON bindings; a page that is not there is empty."""
-        from urllib.request import urlopen
-
-        place = self.template.replace("{page}", str(partition.number))
-
-        def fetch() -> str:
-            if "://" in place and not place.startswith("file://"):
-                with urlopen(place, timeout=60) as answer:
-                    return answer.read().decode("utf-8")
-            with open(place.removeprefix("file://"), encoding="utf-8") as answer:
-                return answer.read()
-
-        try:
-            text = with_retries(fetch, attempts=3, delay=0.05)
-        except FileNotFoundError:
-            return
-        for i, row in enumerate(json.loads(text)["results"]["bindings"]):
+        for i, row in enumerate(fetch_page(self.template, partition.number) or ()):
             yield partition.number, i, json.dumps(row, ensure_ascii=False, sort_keys=True)
 
 
@@ -72,10 +96,10 @@ class PagedBindings(DataSource):
         return _Reader(self.options)
 
 
-def read_pages(spark: SparkSession, template: str, pages: int) -> DataFrame:
-    """(surface, reading, qid): the first binding of each (surface, reading)."""
+def read_pages(spark: SparkSession, template: str, pages: int = 0, size: int = 0) -> DataFrame:
+    """(surface, reading, qid): the first binding of each (surface, reading); pages are counted where their size is given."""
     spark.dataSource.register(PagedBindings)
-    raw = spark.read.format("rankloom_pages").option("template", template).option("pages", pages).load()
+    raw = spark.read.format("rankloom_pages").option("template", template).option("pages", pages).option("size", size).load()
     value = lambda name: F.get_json_object("binding", f"$.{name}.value")
     rows = raw.select(value("label").alias("surface"), value("kana").alias("reading"), value("item").alias("qid"), F.struct("page", "place").alias("o")).filter("surface <> '' AND reading <> ''")
     return wins(rows, ["surface", "reading"], "o").select("surface", "reading", "qid")

@@ -45,3 +45,8 @@ def ensure_public(prefix: str | None, *paths: str) -> None:
     for path in (x.strip().replace("\\", "/") for raw in paths for x in (raw or "").split(",")):
         if path and (_PRIVATE.search(path) or path.lower().endswith(".log") or ".." in path.split("/") or not Path(path).as_posix().startswith(inside)):
             raise ValueError(f"not a public path: {path}")
+
+
+def float_list(text: str) -> list[float]:
+    """Sweep values of a comma list, each once, in order."""
+    return list(dict.fromkeys(float(x) for x in text.split(",") if x.strip()))

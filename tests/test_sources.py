@@ -28,7 +28,9 @@ def test_sinks(spark, tmp_path):
     assert json_lines.write_sorted(df, str(tmp_path / "out")) == 2
     assert spark.read.json(str(tmp_path / "log")).columns == ["chosen", "nbest", "reading", "ts"]
     entries = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "reading string, surface string")
-    assert tab_separated.write_bundle(entries, str(tmp_path / "bundle")) == {"entries": 3, "readings": 2}
+    report = tab_separated.write_bundle(entries, str(tmp_path / "bundle"))
+    assert (report["entries"], report["readings"]) == (3, 2) and report["entries_bytes"] > 0 and report["map_bytes"] > 0
+    assert {r["metric"] for r in spark.read.json(str(tmp_path / "bundle" / "report.json")).collect()} == set(report)
     assert tab_separated.write_listing(entries, str(tmp_path / "list"), "reading") == 2
     tab_separated.write_keys(spark.createDataFrame([(1, "キー"), (2, "きー"), (3, "あ")], "o int, k string"), str(tmp_path / "keys"), "k", "o")
     assert [r[0] for r in spark.read.text(str(tmp_path / "keys")).collect()] == ["きー", "あ"]

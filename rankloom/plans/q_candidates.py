@@ -237,17 +237,24 @@ def reorder_lists(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("grp", F.array_join(C.ranked(F.col("cands"), F.col("scores")), "|").alias("ranked"))
 
 
+_FINE_SQL = "NOT regexp_matches(c, '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2190}-\\x{21FF}\\x{0400}-\\x{04FF}\\x{0370}-\\x{03FF}]') AND regexp_matches(c, '[\\p{L}\\p{N}\\p{M}]')"
+
+
 @query(
-    """WITH r AS (SELECT log_id, regexp_replace(coalesce(chosen, ''), '^ +| +$', '', 'g') AS gold, nbest[1] AS b, coalesce(rerank_top1, '') AS r, coalesce(final_top1, '') AS f FROM rerank_smoke WHERE coalesce(chosen, '') <> '' AND len(nbest) > 0 AND nbest[1] <> ''),
-    e AS (SELECT log_id, b, unnest([b, r, f, gold]) AS c, unnest([0, 1, 2, 3]) AS i FROM r), d AS (SELECT log_id, c, min(i) AS i FROM e WHERE c <> '' GROUP BY 1, 2)
-    SELECT log_id, string_agg(c, '|' ORDER BY i) AS cands, any_value(CASE WHEN r.b = r.gold THEN 'usage_anchor' ELSE 'usage_correction' END) AS category FROM d JOIN r USING (log_id) GROUP BY 1"""
+    f"""WITH r AS (SELECT log_id, {S.strip("coalesce(chosen, '')")} AS gold, {S.strip("coalesce(nbest[1], '')")} AS b, {S.strip("coalesce(rerank_top1, '')")} AS r, {S.strip("coalesce(final_top1, '')")} AS f, {S.clean_context('context_prev')} AS context FROM rerank_smoke WHERE {S.key_norm('reading')} <> ''),
+    k AS (SELECT * FROM r WHERE gold <> '' AND b <> ''), e AS (SELECT log_id, gold, b, unnest([b, r, f, gold]) AS c, unnest([0, 1, 2, 3]) AS i FROM k), d AS (SELECT log_id, c, min(i) AS i FROM e WHERE c <> '' AND (({_FINE_SQL}) OR c = gold OR c = b) GROUP BY 1, 2)
+    SELECT log_id, string_agg(c, '|' ORDER BY CASE WHEN c = k.gold AND NOT ({_FINE_SQL}) AND i > 0 THEN 9 ELSE i END) AS cands, any_value(CASE WHEN k.b = k.gold THEN 'usage_anchor' ELSE 'usage_correction' END) AS category, any_value(context) AS context FROM d JOIN k USING (log_id) GROUP BY 1"""
 )
 def usage_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups out of usage outcomes: baseline first, then what was ranked, shown and wanted."""
+    """Groups out of usage outcomes: the baseline first, then what was ranked, shown and wanted, after hygiene; the wanted one is always there."""
     none = F.lit("")
-    rows = read(spark, folder, "rerank_smoke").filter("coalesce(chosen, '') <> '' AND size(nbest) > 0 AND nbest[0] <> ''")
-    rows = rows.select("log_id", F.regexp_replace("chosen", "^ +| +$", "").alias("gold"), F.get("nbest", F.lit(0)).alias("b"), F.coalesce("rerank_top1", none).alias("r"), F.coalesce("final_top1", none).alias("f"))
-    return rows.select("log_id", F.array_join(C.dedupe(F.array("b", "r", "f", "gold")), "|").alias("cands"), F.when(F.col("b") == F.col("gold"), "usage_anchor").otherwise("usage_correction").alias("category"))
+    text = lambda c: T.strip(F.coalesce(c, none))
+    rows = read(spark, folder, "rerank_smoke").filter(T.key_norm(F.col("reading")) != "")
+    rows = rows.select("log_id", text(F.col("chosen")).alias("gold"), text(F.get("nbest", F.lit(0))).alias("b"), text(F.col("rerank_top1")).alias("r"), text(F.col("final_top1")).alias("f"), T.clean_context(F.col("context_prev")).alias("context")).filter("gold <> '' AND b <> ''")
+    fine = C.sanitize(F.array("b", "r", "f", "gold"))
+    whole = F.when(F.array_contains(fine, F.col("gold")), fine).otherwise(F.concat(fine, F.array("gold")))
+    ordered = F.concat(F.array("b"), F.array_remove(whole, F.col("b")))
+    return rows.select("log_id", F.array_join(ordered, "|").alias("cands"), F.when(F.col("b") == F.col("gold"), "usage_anchor").otherwise("usage_correction").alias("category"), "context")
 
 
 @query(

@@ -197,29 +197,74 @@ def guard_skip(spark: SparkSession, folder: str) -> DataFrame:
     return with_eligible(spark, folder, rows, "r", "log_id").select("log_id", skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.lit(True)).alias("skip"))
 
 
-BUNDLE_SQL = f"""{MAP_SQL}, h AS (SELECT DISTINCT reading, {S.strong('gold')} AS ns FROM holdout WHERE gold IS NOT NULL),
-    t AS (SELECT term_id, reading, surface, provenance.source_id AS source, {S.key_norm('reading')} AS key, {S.strong('surface')} AS ns FROM term_record WHERE reading <> '' AND surface IS NOT NULL),
+#: What the holdout takes out of a bundle: its targets and pairs, its pairs only, or everything of its keys as well.
+MODES = ("gold_and_pair", "pair_only", "reading")
+
+
+def bundle_sql(mode: str = "gold_and_pair") -> str:
+    held = {"gold_and_pair": "WHEN gold THEN 'holdout_target' WHEN pair THEN 'holdout_pair'", "pair_only": "WHEN pair THEN 'holdout_pair'", "reading": "WHEN key_held THEN 'holdout_reading' WHEN gold THEN 'holdout_target' WHEN pair THEN 'holdout_pair'"}[mode]
+    return f"""{MAP_SQL}, h AS (SELECT DISTINCT reading, {S.strong('gold')} AS ns FROM holdout WHERE gold IS NOT NULL AND {S.strong('gold')} <> ''),
+    t AS (SELECT term_id, reading, surface, provenance.source_id AS source, provenance.license_id AS license, {S.key_norm('reading')} AS key, {S.strong('surface')} AS ns FROM term_record WHERE reading <> '' AND surface IS NOT NULL),
     l AS (SELECT key, unnest(candidates) AS c FROM m), n AS (SELECT DISTINCT key, {S.strong('c')} AS ns FROM l),
-    j AS (SELECT t.*, m.key IS NULL AS unknown, n.ns IS NOT NULL AS listed, t.ns IN (SELECT ns FROM h) AS gold, (t.reading, t.ns) IN (SELECT (reading, ns) FROM h WHERE reading IS NOT NULL) AS pair FROM t LEFT JOIN m USING (key) LEFT JOIN n ON n.key = t.key AND n.ns = t.ns),
-    d AS (SELECT *, CASE WHEN ns = '' THEN 'empty' WHEN unknown THEN 'no_candidates' WHEN listed THEN 'in_candidates' WHEN gold THEN 'holdout_target' WHEN pair THEN 'holdout_pair' END AS reason FROM j),
+    j AS (SELECT t.*, m.key IS NULL AS unknown, n.ns IS NOT NULL AS listed, t.ns IN (SELECT ns FROM h) AS gold, (t.reading, t.ns) IN (SELECT (reading, ns) FROM h WHERE reading IS NOT NULL) AS pair, t.reading IN (SELECT reading FROM h WHERE reading IS NOT NULL) AS key_held FROM t LEFT JOIN m USING (key) LEFT JOIN n ON n.key = t.key AND n.ns = t.ns),
+    d AS (SELECT *, CASE WHEN ns = '' THEN 'empty' WHEN unknown THEN 'no_candidates' WHEN listed THEN 'in_candidates' {held} END AS reason FROM j),
     r AS (SELECT *, row_number() OVER (PARTITION BY reading, ns ORDER BY term_id) AS dup FROM d WHERE reason IS NULL),
     capped AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY term_id) AS place FROM r WHERE dup = 1)"""
 
 
-def bundle_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """(term_id, reading, surface, source, ns, reason): each term with the first reason to drop it."""
-    terms = read(spark, folder, "term_record").filter("reading <> '' AND surface IS NOT NULL").select("term_id", "reading", "surface", F.col("provenance.source_id").alias("source"))
+BUNDLE_SQL = bundle_sql()
+
+
+def bundle_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Each term with what speaks against it: known and listed candidates, targets, pairs and keys of the holdout."""
+    terms = read(spark, folder, "term_record").filter("reading <> '' AND surface IS NOT NULL").select("term_id", "reading", "surface", F.col("provenance.source_id").alias("source"), F.col("provenance.license_id").alias("license"))
     terms = keyed(terms).withColumn("ns", T.strong_surface(F.col("surface")))
     listed = candidate_map(spark, folder)
     known = listed.select("key", F.lit(True).alias("known"))
     norms = listed.select("key", F.explode("candidates").alias("c")).select("key", T.strong_surface(F.col("c")).alias("ns")).distinct().withColumn("listed", F.lit(True))
-    hold = read(spark, folder, "holdout").filter("gold IS NOT NULL").select("reading", T.strong_surface(F.col("gold")).alias("ns")).distinct()
-    golds, pairs = hold.select("ns").distinct().withColumn("gold", F.lit(True)), hold.withColumn("pair", F.lit(True))
+    hold = read(spark, folder, "holdout").filter("gold IS NOT NULL").select("reading", T.strong_surface(F.col("gold")).alias("ns")).filter("ns <> ''").distinct()
+    golds, pairs, keys = hold.select("ns").distinct().withColumn("gold", F.lit(True)), hold.withColumn("pair", F.lit(True)), hold.select("reading").distinct().withColumn("key_held", F.lit(True))
     spread = [F.col("term_id")]
     j = salted_lookup(salted_lookup(terms, known, ["key"], spread, "left"), norms, ["key", "ns"], spread, "left")
     j = salted_lookup(salted_lookup(j, golds, ["ns"], spread, "left"), pairs, ["reading", "ns"], spread, "left")
-    reason = F.when(F.col("ns") == "", "empty").when(F.col("known").isNull(), "no_candidates").when(F.col("listed"), "in_candidates").when(F.col("gold"), "holdout_target").when(F.col("pair"), "holdout_pair")
-    return j.select("term_id", "reading", "surface", "source", "ns", reason.alias("reason"))
+    return salted_lookup(j, keys, ["reading"], spread, "left")
+
+
+def drop_reason(mode: Column) -> Column:
+    """The first reason to drop a term in a mode, or null."""
+    return (
+        F.when(F.col("ns") == "", "empty").when(F.col("known").isNull(), "no_candidates").when(F.col("listed"), "in_candidates").when((mode == "reading") & F.col("key_held"), "holdout_reading")
+        .when((mode != "pair_only") & F.col("gold"), "holdout_target").when(F.col("pair"), "holdout_pair")
+    )
+
+
+def bundle_rows(spark: SparkSession, folder: str, mode: str = "gold_and_pair") -> DataFrame:
+    """(term_id, reading, surface, source, license, ns, reason): each term with the first reason to drop it."""
+    return bundle_flags(spark, folder).select("term_id", "reading", "surface", "source", "license", "ns", drop_reason(F.lit(mode)).alias("reason"))
+
+
+_MODE_SQL = "SELECT '{0}' AS mode, coalesce(reason, CASE WHEN dup > 1 THEN 'duplicate' WHEN place > 4 THEN 'over_cap' ELSE 'kept' END) AS reason, count(*) AS n FROM d LEFT JOIN (SELECT r.term_id, dup, place FROM r LEFT JOIN capped USING (term_id)) x USING (term_id) GROUP BY ALL"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {bundle_sql(mode)} {_MODE_SQL.format(mode)})" for mode in MODES).replace("r.term_id, dup, place", "r.term_id, r.dup, place"))
+def bundle_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of the terms in each mode of keeping the holdout out; the flags are joined once for all modes."""
+    rows = bundle_flags(spark, folder).withColumn("mode", F.explode(F.array(*map(F.lit, MODES)))).withColumn("reason", drop_reason(F.col("mode"))).select("mode", "term_id", "reading", "ns", "reason")
+    firsts = D.wins(rows.filter("reason IS NULL"), ["mode", "reading", "ns"], "term_id")
+    capped = D.cap_per_key(firsts, ["mode", "reading"], ["term_id"], 4).select("mode", "term_id", F.lit(True).alias("kept"))
+    marks = firsts.select("mode", "term_id", F.lit(True).alias("first")).join(capped, ["mode", "term_id"], "left")
+    reason = F.coalesce("reason", F.when(F.col("kept"), "kept").when(F.col("first"), "over_cap").otherwise("duplicate"))
+    return rows.join(marks, ["mode", "term_id"], "left").groupBy("mode", reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {BUNDLE_SQL} SELECT CASE WHEN grouping(source) = 1 THEN '*' ELSE source END AS source, CASE WHEN grouping(license) = 1 THEN '*' ELSE license END AS license, count(*) AS entries, count(DISTINCT reading) AS readings FROM (SELECT coalesce(source, 'unknown') AS source, coalesce(license, 'unknown') AS license, reading FROM capped WHERE place <= 4) GROUP BY CUBE (source, license)")
+def bundle_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of the bundle by source and license, with all totals, in one pass."""
+    kept = D.cap_per_key(D.wins(bundle_rows(spark, folder).filter("reason IS NULL"), ["reading", "ns"], "term_id"), ["reading"], ["term_id"], 4)
+    named = kept.select(*[F.coalesce(c, F.lit("unknown")).alias(c) for c in ("source", "license")], "reading")
+    name = lambda c: F.when(F.col(f"g_{c}") == 1, "*").otherwise(F.col(c)).alias(c)
+    sums = named.cube("source", "license").agg(F.grouping("source").alias("g_source"), F.grouping("license").alias("g_license"), F.count("*").alias("entries"), F.countDistinct("reading").alias("readings"))
+    return sums.select(name("source"), name("license"), "entries", "readings")
 
 
 @query(f"WITH {BUNDLE_SQL} SELECT term_id, reading, surface FROM capped WHERE place <= 4")
@@ -324,10 +369,10 @@ def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
     return D.wins(read(spark, folder, "train").select("row_id", "reading", "gold"), ["reading", "gold"], "row_id")
 
 
-@query("SELECT reading, max(row_id) AS row_id, arg_max(coalesce(gold, '?'), row_id) AS gold FROM train GROUP BY reading")
+@query("SELECT reading, max(row_id) AS row_id, arg_max(coalesce(gold, '?'), row_id) AS gold, min(row_id) AS position FROM train GROUP BY reading")
 def dedup_last(spark: SparkSession, folder: str) -> DataFrame:
-    """The last row of each reading."""
-    return D.wins(read(spark, folder, "train").select("row_id", "reading", F.coalesce("gold", F.lit("?")).alias("gold")), ["reading"], "row_id", last=True)
+    """The last row of each reading, at the position of its first."""
+    return read(spark, folder, "train").groupBy("reading").agg(F.max("row_id").alias("row_id"), F.max_by(F.coalesce("gold", F.lit("?")), "row_id").alias("gold"), F.min("row_id").alias("position"))
 
 
 @query("SELECT row_id, reading, gold FROM (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY row_id) AS k FROM (SELECT min(row_id) AS row_id, reading, gold FROM train GROUP BY reading, gold)) WHERE k <= 2")

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.operators import gate, stats
-from rankloom.plans.q_candidates import DECIDE_SQL, GROUPS_SQL, SWEPT_SQL, TAUS, groups
+from rankloom.operators.skew import salted_lookup
+from rankloom.plans.q_candidates import DECIDE_SQL, GROUPS_SQL, SWEPT_SQL, TAUS, groups, metrics_sql
+from rankloom.plans.q_joins import AMBIGUOUS_SQL, COUNTS_SQL, CS_SQL, ambiguous_keys, sensitive_keys
+from rankloom.plans.q_text import COMPANY, PLACE_END
 from rankloom.session import read_table as read
 
 QUERIES: dict = {}
@@ -24,20 +27,24 @@ def query(sql: str | None = None):
     return add
 
 
-BASE_SQL = """SELECT count(*) AS n, count(*) FILTER (WHERE mozc_hit1) AS hit1, count(*) FILTER (WHERE gold_in_nbest) AS gold_in, count(*) FILTER (WHERE gold_in_nbest AND NOT coalesce(mozc_hit1, false)) AS not_top1,
+BASE_SQL = """SELECT *, round(hit1 / n, 6) AS hit1_share, round(gold_in / n, 6) AS gold_in_share, round(prefix / n, 6) AS prefix_share, round(empty / n, 6) AS empty_share, round(miss_recoverable / greatest(miss_n, 1), 6) AS recoverable_share, round(gold_in / n - hit1 / n, 6) AS headroom FROM (
+    SELECT count(*) AS n, count(*) FILTER (WHERE mozc_hit1) AS hit1, count(*) FILTER (WHERE gold_in_nbest) AS gold_in, count(*) FILTER (WHERE gold_in_nbest AND NOT coalesce(mozc_hit1, false)) AS not_top1,
     count(*) FILTER (WHERE coalesce(len(mozc_nbest), 0) = 0) AS empty, count(*) FILTER (WHERE starts_with(gold, mozc_top1) AND mozc_top1 <> '') AS prefix, round(avg(gold_rank), 6) AS rank_mean, round(quantile_cont(gold_rank, 0.5), 6) AS rank_median,
     count(*) FILTER (WHERE gold_rank = 1) AS rank_1, count(*) FILTER (WHERE gold_rank BETWEEN 2 AND 3) AS rank_2_3, count(*) FILTER (WHERE gold_rank BETWEEN 4 AND 10) AS rank_4_10, count(*) FILTER (WHERE gold_rank > 10) AS rank_11,
-    count(*) FILTER (WHERE NOT coalesce(mozc_hit1, false)) AS miss_n FROM train"""
+    count(*) FILTER (WHERE NOT coalesce(mozc_hit1, false)) AS miss_n, count(*) FILTER (WHERE NOT coalesce(mozc_hit1, false) AND gold_in_nbest) AS miss_recoverable FROM train)"""
 
 
 def baseline(rows: DataFrame) -> DataFrame:
-    """One row about the baseline: hits, coverage, ranks."""
+    """One row about the baseline: hits, coverage, ranks, what reranking could win; shares are null for no rows."""
     hit, inside, rank = F.coalesce("mozc_hit1", F.lit(False)), F.coalesce("gold_in_nbest", F.lit(False)), F.col("gold_rank")
-    return rows.agg(
+    counts = rows.agg(
         F.count("*").alias("n"), F.count_if(hit).alias("hit1"), F.count_if(inside).alias("gold_in"), F.count_if(inside & ~hit).alias("not_top1"), F.count_if(F.coalesce(F.size("mozc_nbest"), F.lit(0)) <= 0).alias("empty"),
         F.count_if(F.col("gold").startswith(F.col("mozc_top1")) & (F.col("mozc_top1") != "")).alias("prefix"), F.round(F.avg(rank), 6).alias("rank_mean"), F.round(F.percentile(rank, 0.5), 6).alias("rank_median"),
-        F.count_if(rank == 1).alias("rank_1"), F.count_if(rank.between(2, 3)).alias("rank_2_3"), F.count_if(rank.between(4, 10)).alias("rank_4_10"), F.count_if(rank > 10).alias("rank_11"), F.count_if(~hit).alias("miss_n"),
+        F.count_if(rank == 1).alias("rank_1"), F.count_if(rank.between(2, 3)).alias("rank_2_3"), F.count_if(rank.between(4, 10)).alias("rank_4_10"), F.count_if(rank > 10).alias("rank_11"), F.count_if(~hit).alias("miss_n"), F.count_if(~hit & inside).alias("miss_recoverable"),
     )
+    n = F.nullif(F.col("n"), F.lit(0))
+    shares = {"hit1_share": F.col("hit1") / n, "gold_in_share": F.col("gold_in") / n, "prefix_share": F.col("prefix") / n, "empty_share": F.col("empty") / n, "recoverable_share": F.col("miss_recoverable") / F.greatest("miss_n", F.lit(1)), "headroom": F.col("gold_in") / n - F.col("hit1") / n}
+    return counts.select("*", *[F.round(c, 6).alias(name) for name, c in shares.items()])
 
 
 @query(BASE_SQL)
@@ -46,6 +53,12 @@ def baseline_report(spark: SparkSession, folder: str) -> DataFrame:
     return baseline(read(spark, folder, "train"))
 
 
+@query("SELECT coalesce(nullif(category, ''), 'unknown') AS category, count(*) AS n, count(*) FILTER (WHERE mozc_hit1) AS hit1 FROM train GROUP BY 1")
+def baseline_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and hits of every category."""
+    return read(spark, folder, "train").groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"), F.count_if("mozc_hit1").alias("hit1"))
+
+
 @query(f"WITH b AS ({BASE_SQL}) SELECT gold_in / n >= 0.50 AND not_top1 / n > 0.05 AS go, round(gold_in / n, 6) AS gold_share, round(not_top1 / n, 6) AS headroom FROM b")
 def gate_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Whether reranking is worth it."""
@@ -60,12 +73,26 @@ def slice_tag():
     return F.when(F.col("mozc_hit1"), "hit").when(F.col("gold_in_nbest"), "A").otherwise("B")
 
 
-@query(f"SELECT {SLICE_SQL} AS slice, CASE WHEN grouping(category) = 1 THEN '*' ELSE coalesce(nullif(category, ''), 'unknown') END AS category, count(*) AS n FROM train GROUP BY GROUPING SETS (({SLICE_SQL}), ({SLICE_SQL}, category))".replace("coalesce(nullif(category, ''), 'unknown')", "category").replace("FROM train", "FROM (SELECT * REPLACE (coalesce(nullif(category, ''), 'unknown') AS category) FROM train)"))
+_HINT_SQL = f"CASE WHEN coalesce(category, '') <> '' THEN category WHEN regexp_matches(gold, '{PLACE_END}') THEN 'place_suffix' WHEN regexp_matches(gold, '{COMPANY}') THEN 'company' ELSE 'other' END"
+
+
+@query(
+    f"""WITH t AS (SELECT {SLICE_SQL} AS slice, coalesce(nullif(category, ''), 'unknown') AS category, coalesce(nullif(source, ''), 'unknown') AS source, {_HINT_SQL} AS hint FROM train),
+    g AS (SELECT slice, category, source, hint, grouping(category, source, hint) AS g, count(*) AS n FROM t GROUP BY GROUPING SETS ((slice), (slice, category), (slice, source), (slice, hint)))
+    SELECT slice, CASE g WHEN 7 THEN 'all' WHEN 3 THEN 'category' WHEN 5 THEN 'source' ELSE 'hint' END AS kind, CASE g WHEN 7 THEN '*' WHEN 3 THEN category WHEN 5 THEN source ELSE hint END AS value, n, round_even(n / (SELECT count(*) FROM train), 4) AS share FROM g"""
+)
 def ab_slices(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of each slice, in all and by category, in one pass."""
-    rows = read(spark, folder, "train").select(slice_tag().alias("slice"), F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown")).alias("category"))
-    sets = rows.groupingSets([["slice"], ["slice", "category"]], "slice", "category").agg(F.grouping("category").alias("g"), F.count("*").alias("n"))
-    return sets.select("slice", F.when(F.col("g") == 1, "*").otherwise(F.col("category")).alias("category"), "n")
+    """Rows of each slice, in all and by category, source and hint, in one pass."""
+    name = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")).alias(c)
+    hint = F.when(F.coalesce("category", F.lit("")) != "", F.col("category")).when(F.col("gold").rlike(PLACE_END), "place_suffix").when(F.col("gold").rlike(COMPANY), "company").otherwise("other")
+    rows = read(spark, folder, "train").select(slice_tag().alias("slice"), name("category"), name("source"), hint.alias("hint"))
+    kinds = ["category", "source", "hint"]
+    sets = rows.groupingSets([["slice"], *[["slice", k] for k in kinds]], "slice", *kinds).agg(F.grouping_id().alias("g"), *[F.grouping(k).alias(f"g_{k}") for k in kinds], F.count("*").alias("n"))
+    kind, value = F.lit("all"), F.lit("*")
+    for k in kinds:
+        kind, value = F.when(F.col(f"g_{k}") == 0, k).otherwise(kind), F.when(F.col(f"g_{k}") == 0, F.col(k)).otherwise(value)
+    whole = F.sum(F.when(kind == "all", F.col("n"))).over(W.partitionBy(F.lit(1)))  # over the groups, not the rows
+    return sets.select("slice", kind.alias("kind"), value.alias("value"), "n", F.bround(F.col("n") / whole, 4).alias("share"))
 
 
 @query(f"SELECT count(*) FILTER (WHERE s = 'B') / count(*) >= 0.25 AS source_more, round(count(*) FILTER (WHERE s = 'B') / count(*), 6) AS b_share FROM (SELECT {SLICE_SQL} AS s FROM train)")
@@ -133,15 +160,20 @@ def context_difference(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("tau").agg(pick("n", True).alias("n_with"), pick("final_hit", True).alias("hits_with"), pick("n", False).alias("n_blank"), pick("final_hit", False).alias("hits_blank"))
 
 
-SUBSET_SQL = "unnest(list_filter(['all', CASE WHEN length(reading) > 8 THEN 'long' ELSE 'short' END, CASE WHEN context <> '' THEN 'context' END], lambda x: x IS NOT NULL))"
+SUBSET_SQL = "unnest(list_filter(['all', CASE WHEN sensitive THEN 'context_sensitive' ELSE 'non_context_sensitive' END, CASE WHEN ambiguous THEN 'ambiguous' ELSE 'non_ambiguous' END], lambda x: x IS NOT NULL))"
 
 
-@query(f"WITH {GROUPS_SQL}, {DECIDE_SQL}, s AS (SELECT *, {SUBSET_SQL} AS subset FROM d) SELECT subset, count(*) AS n, count(*) FILTER (WHERE base = target) AS base_hit, count(*) FILTER (WHERE rerank_top1 = target) AS raw_hit FROM s GROUP BY 1")
+@query(
+    f"""WITH {CS_SQL}, {COUNTS_SQL}, amb AS ({AMBIGUOUS_SQL}), {GROUPS_SQL}, {DECIDE_SQL}, w AS (SELECT *, coalesce(reading IN (SELECT reading FROM keys), false) AS sensitive, coalesce(reading IN (SELECT reading FROM amb), false) AS ambiguous,
+    coalesce(rerank_top1 <> base AND margin >= 2.5, false) AS overwritten FROM d), f AS (SELECT *, CASE WHEN overwritten THEN rerank_top1 ELSE base END AS final_top1, {SUBSET_SQL} AS subset FROM w), {metrics_sql('f', 'subset')} SELECT * FROM metrics"""
+)
 def subset_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics by named subsets in one pass; a row may be in several."""
-    names = F.array_compact(F.array(F.lit("all"), F.when(F.length("reading") > 8, "long").otherwise("short"), F.when(F.col("context") != "", "context")))
-    d = gate.decide(groups(spark, folder), F.lit(0.0)).withColumn("subset", F.explode(names))
-    return d.groupBy("subset").agg(F.count("*").alias("n"), F.count_if(F.col("base") == F.col("target")).alias("base_hit"), F.count_if(F.col("rerank_top1") == F.col("target")).alias("raw_hit"))
+    """Metrics by named subsets in one pass; a row is in several."""
+    g = groups(spark, folder)
+    for keys, flag in ((sensitive_keys(spark, folder), "sensitive"), (ambiguous_keys(spark, folder), "ambiguous")):
+        g = salted_lookup(g, keys.select("reading", F.lit(True).alias(flag)), ["reading"], [F.col("grp")], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    names = F.array(F.lit("all"), F.when(F.col("sensitive"), "context_sensitive").otherwise("non_context_sensitive"), F.when(F.col("ambiguous"), "ambiguous").otherwise("non_ambiguous"))
+    return gate.sweep(g.withColumn("subset", F.explode(names)), [2.5], groups=("subset",)).drop("tau")
 
 
 _P = "round(quantile_cont(value, {0}), 6) AS p{1}"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.dedup import hash_rank
-from rankloom.operators.prefix import running_total
+from rankloom.operators.places import with_place
 from rankloom.operators.skew import salted_lookup
 from rankloom.session import materialize
 
@@ -101,16 +101,6 @@ def evaluation_set(rows: DataFrame, row: str, sizes: Sizes, seed: int) -> DataFr
     return first.unionByName(rest.select(row, F.lit("fill").alias("role")))
 
 
-def with_place(df: DataFrame, key: str, order: str, block: int = 4096) -> DataFrame:
-    """Rows with ``place`` (from 0) within their key by a whole-number order, and ``n`` rows of the key.
-
-    Places are running totals over blocks of the order, so a hot key is spread over tasks.
-    """
-    each = df.withColumn("_one", F.lit(1)).withColumn("_block", F.floor(F.col(order) / block).cast("bigint"))
-    placed = running_total(each, [key], "_block", [F.col(order)], "_one", "place").drop("_one", "_block")
-    return salted_lookup(placed, df.groupBy(key).agg(F.count("*").alias("n")), [key], [F.col(order)])
-
-
 def cycled(df: DataFrame, key: str, order: str, total: int, seed: int) -> DataFrame:
     """(round, key, order): rounds over the keys, each giving its next row and starting again after its last, until ``total`` rows.
 

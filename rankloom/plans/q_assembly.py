@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import assembly as A
 from rankloom.operators import splits
+from rankloom.operators.places import with_place
 from rankloom.operators.skew import salted_lookup
 from rankloom.plans.q_text import T_fraction, fraction_sql
 from rankloom.session import materialize
@@ -193,7 +194,7 @@ _MIX_SQL = f"""WITH g AS (SELECT log_id, reading, row_number() OVER (PARTITION B
 
 def usage_train(spark: SparkSession, folder: str) -> DataFrame:
     """(log_id, reading): usage rows that are not in the held-out tail of their key."""
-    g = A.with_place(read(spark, folder, "rerank_smoke").filter("reading <> ''").select("log_id", "reading"), "reading", "log_id")
+    g = with_place(read(spark, folder, "rerank_smoke").filter("reading <> ''").select("log_id", "reading"), "reading", "log_id")
     n = F.col("n")
     tail = F.col("place") >= n - F.least(n - 1, F.greatest(F.lit(1), F.bround(n * 0.2, 0)))
     return g.filter(~F.when(n == 1, T_fraction("reading", 9) < 0.2).otherwise(tail)).select("log_id", "reading")

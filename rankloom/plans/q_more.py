@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
 from rankloom.operators import candidates as C
 from rankloom.operators import dedup as D
+from rankloom.operators.places import with_previous
 from rankloom.operators import gate
 from rankloom.plans.q_candidates import DECIDE_SQL, DUAL_SQL, GROUPS_SQL, NATIVE, TAU_NATIVE, groups, margin_dual_tau, metrics_sql
 from rankloom.plans.q_joins import EXTRA_SQL, injected
@@ -98,8 +98,8 @@ def pair_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def pending_correlation(spark: SparkSession, folder: str) -> DataFrame:
     """Finished requests with the one that was pending: a view waits, a signup clears it, a purchase takes it."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    s = read(spark, folder, "events").filter(F.col("event_type").isin("view", "purchase", "signup")).select("user_id", "event_id", "event_type", F.lag("event_type").over(w).alias("before"), F.lag("event_id").over(w).alias("pending_id"))
+    e = read(spark, folder, "events").filter(F.col("event_type").isin("view", "purchase", "signup")).select("user_id", "event_id", "event_type")
+    s = with_previous(e, "user_id", "event_id", {"before": ("event_type", 1), "pending_id": ("event_id", 1)})
     return s.filter("event_type = 'purchase' AND before = 'view'").select("user_id", "pending_id", F.col("event_id").alias("finish_id"))
 
 
@@ -108,10 +108,11 @@ def pending_correlation(spark: SparkSession, folder: str) -> DataFrame:
 )
 def request_history(spark: SparkSession, folder: str) -> DataFrame:
     """The context of a request: its own, else the first candidates of the two requests before it in the session."""
-    w = W.partitionBy("session_id").orderBy("log_id")
-    first, none = F.get("nbest", F.lit(0)), F.lit("")
-    past = F.concat(F.coalesce(F.lag(first, 2).over(w), none), F.coalesce(F.lag(first, 1).over(w), none))
-    return read(spark, folder, "rerank_smoke").filter("session_id IS NOT NULL").select("log_id", F.when(F.coalesce("context_prev", none) != "", F.col("context_prev")).otherwise(past).alias("history"))
+    none = F.lit("")
+    log = read(spark, folder, "rerank_smoke").filter("session_id IS NOT NULL").select("log_id", "session_id", "context_prev", F.get("nbest", F.lit(0)).alias("first"))
+    rows = with_previous(log, "session_id", "log_id", {"one": ("first", 1), "two": ("first", 2)})
+    past = F.concat(F.coalesce("two", none), F.coalesce("one", none))
+    return rows.select("log_id", F.when(F.coalesce("context_prev", none) != "", F.col("context_prev")).otherwise(past).alias("history"))
 
 
 @query(f"WITH {GROUPS_SQL}, e AS (SELECT grp, unnest(scores) AS s, generate_subscripts(scores, 1) AS i FROM g) SELECT grp, count(*) AS n, round(sum(s * i), 6) AS weighted FROM e GROUP BY 1")

@@ -11,7 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators.assembly import with_place
+from rankloom.operators.places import with_place
 from rankloom.plans import sqltext as S
 from rankloom.plans.q_joins import ALLOW_SQL, MAP_SQL, allow_list, candidate_map
 from rankloom.plans.q_reports import baseline

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import dedup as D
 from rankloom.operators import splits
-from rankloom.operators.assembly import with_place
+from rankloom.operators.places import with_place
 from rankloom.plans.q_text import T_fraction, fraction_sql
 from rankloom.session import read_table as read
 

@@ -173,3 +173,14 @@ def test_sets_of_few_rows(spark):
     assert {r["role"] for r in assembly.evaluation_set(rows.filter("sensitive"), "row_id", sizes, 5).collect()} == {"sensitive", "fill"}
     usage = spark.createDataFrame([(i, i < 2) for i in range(6)], "i bigint, a boolean")
     assert sorted(r["role"] for r in assembly.anchored_sample(usage, "i", "a", 5, 0.7, 3).collect()) == ["anchor"] * 2 + ["residual"] * 3
+
+
+def test_previous_rows_across_blocks(spark):
+    from rankloom.operators.places import with_previous
+
+    rows = spark.createDataFrame([(i, "hot" if i % 7 else "k", f"v{i}") for i in range(60)] + [(99, None, "n")], "i bigint, k string, v string")
+    got = {r["i"]: (r["a"], r["b"]) for r in with_previous(rows, "k", "i", {"a": ("v", 1), "b": ("v", 2)}, 8).filter("k IS NOT NULL").collect()}
+    for key in ("hot", "k"):
+        own = [i for i in range(60) if (i % 7 != 0) == (key == "hot")]
+        for at, i in enumerate(own):
+            assert got[i] == (f"v{own[at - 1]}" if at else None, f"v{own[at - 2]}" if at > 1 else None)

@@ -136,10 +136,10 @@ def _ladder_sql(order: str, columns: str) -> str:
     return f"WITH e AS (SELECT user_id, list((value > 20)::BIGINT ORDER BY {order}) AS xs FROM events GROUP BY 1), s AS (SELECT user_id, {LADDER_SQL} AS a FROM e), t AS (SELECT user_id, {_TIER}::INTEGER AS tier, {_BAD}::INTEGER AS bad, {_GOOD}::INTEGER AS good FROM s) SELECT {columns} FROM t"
 
 
-@query(_ladder_sql("ts, event_id", "*, CASE WHEN tier >= 1 THEN 15 ELSE 30 END AS cand_cap, CASE WHEN tier >= 3 THEN 0 WHEN tier >= 2 THEN 20 ELSE 50 END AS context_chars, tier >= 4 AS off"))
+@query(_ladder_sql("ts, event_id", f"* REPLACE (least(bad, {ladder.STEP}) AS bad, least(good, {ladder.STEP}) AS good), CASE WHEN tier >= 1 THEN 15 ELSE 30 END AS cand_cap, CASE WHEN tier >= 3 THEN 0 WHEN tier >= 2 THEN 20 ELSE 50 END AS context_chars, tier >= 4 AS off"))
 def degrade_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """The tier of each client after its outcomes; slow events count as timeouts."""
-    t = ladder.tiers(read(spark, folder, "events"), "user_id", ["ts", "event_id"], F.col("value") > 20)
+    t = ladder.tiers(read(spark, folder, "events"), "user_id", ["ts", "event_id"], F.col("value") > 20, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)))
     return t.select("user_id", "tier", "bad", "good", *ladder.limits(F.col("tier"), F.lit(30), F.lit(50)))
 
 

@@ -60,7 +60,7 @@ def test_archives(spark, tmp_path):
     feed = "<rss><item><title>題</title><description>&lt;b&gt;" + "本文。" * 20 + "&lt;/b&gt;</description><link>l</link></item><item><title>短</title><link>m</link></item></rss>"
     (tmp_path / "f.xml").write_text(feed, encoding="utf-8")
     rows = archives.read_feed(spark, str(tmp_path / "f.xml")).collect()
-    assert [r["doc_id"] for r in rows] == ["doc_00001"] and "<b>" not in rows[0]["text"]
+    assert [r["doc_id"] for r in rows] == ["doc_00000"] and "<b>" not in rows[0]["text"]
     dump = "<feed><doc><title>Wikipedia: 山</title><abstract>" + "山は高い。" * 20 + "</abstract></doc><doc><title>Category:山</title><abstract>" + "分類。" * 40 + "</abstract></doc></feed>"
     (tmp_path / "d.xml").write_text(dump, encoding="utf-8")
     assert [r["title"] for r in archives.read_dump(spark, str(tmp_path / "d.xml")).collect()] == ["山"]

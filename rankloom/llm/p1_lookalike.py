@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import lookalike as look
+from rankloom.plans import sqltext as S
 from rankloom.session import read_table
 
 
@@ -25,14 +26,29 @@ def p1_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical}
 
+
+def skeleton_sql(x: str) -> str:
+    """Another way to the same families: letters of one shape become one letter everywhere, whatever they stand between."""
+    bare = f"regexp_replace({S.nfkc(f"regexp_replace({x}, {S.quote(look.INVISIBLE)}, '', 'g')")}, {S.quote(look.INVISIBLE)}, '', 'g')"
+    marks = f"nfc_normalize(translate({bare}, '゛゜', {S.quote(chr(0x3099) + chr(0x309A))}))"
+    one = look.DASHES + look.ONE
+    same = [
+        (look.CYRILLIC_FROM + look.GREEK_FROM + look.RADICAL_FROM, look.CYRILLIC_TO + look.GREEK_TO + look.RADICAL_TO), (look.KANA_SHAPED + look.KATAKANA_SAME, look.IDEOGRAPH_SHAPED + look.HIRAGANA_SAME),
+        (one, look.LONG_MARK * len(one)), (look.DOTS + look.CIRCLES, look.DOT * len(look.DOTS) + look.CIRCLE * len(look.CIRCLES)),
+    ]
+    out = marks
+    for source, target in same:
+        out = f"translate({out}, {S.quote(source)}, {S.quote(target)})"
+    return f"nfc_normalize({out})"
+
+
 SQL = {
     "p1_found": f"""
-    WITH pairs AS (SELECT row_id, gold, unnest(mozc_nbest) AS cand FROM holdout WHERE gold IS NOT NULL),
-    strings AS (SELECT surface AS v FROM term_record UNION SELECT gold FROM pairs UNION SELECT cand FROM pairs), {look.canonical_ctes()},
-    families AS (SELECT form FROM canonical WHERE v IN (SELECT surface FROM term_record) GROUP BY form HAVING count(*) > 1)
-    SELECT 'term_record' AS tbl, term_id AS row_key FROM term_record JOIN canonical ON v = surface WHERE form IN (SELECT form FROM families)
+    WITH s AS (SELECT v, {skeleton_sql('v')} AS form FROM (SELECT DISTINCT surface AS v FROM term_record WHERE surface IS NOT NULL)), f AS (SELECT form FROM s GROUP BY 1 HAVING count(*) > 1),
+    pairs AS (SELECT row_id, gold, unnest(mozc_nbest) AS cand FROM holdout WHERE gold IS NOT NULL)
+    SELECT 'term_record' AS tbl, term_id AS row_key FROM term_record JOIN s ON v = surface WHERE form IN (SELECT form FROM f)
     UNION ALL
-    SELECT DISTINCT 'holdout', row_id FROM pairs JOIN canonical g ON g.v = gold JOIN canonical c ON c.v = cand WHERE g.form = c.form AND cand <> gold""",
+    SELECT DISTINCT 'holdout', row_id FROM pairs WHERE cand <> gold AND {skeleton_sql('cand')} = {skeleton_sql('gold')}""",
     "p1_canonical": f"""
     WITH cells AS (
         SELECT 'term_record' AS tbl, term_id AS row_key, 'surface' AS field_name, 0 AS position, surface AS value FROM term_record

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rankloom.functions.text import key_norm
 from rankloom.llm import components
+from rankloom.plans import sqltext as S
 from rankloom.session import read_table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -56,6 +57,10 @@ def p2_invariants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_invariants": p2_invariants}
+# A closure over all pairs of sources, which small tables allow.
 SQL = {
+    "p2_found": f"""
+    WITH RECURSIVE k AS (SELECT DISTINCT lower({S.strip(S.nfkc('source'))}) AS s, {S.key_norm('reading')} AS r FROM train WHERE source IS NOT NULL AND reading IS NOT NULL), e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM k a JOIN k b USING (r)),
+    reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x) SELECT x AS source_key, min(y) AS group_key FROM reach GROUP BY 1 HAVING count(*) > 1""",
     "p2_invariants": "SELECT count(*) AS rows, count(DISTINCT row_id) AS ids, 0::BIGINT AS unplaced, 0::BIGINT AS torn_sources, 0::BIGINT AS torn_readings, true AS shares_near FROM train",
 }

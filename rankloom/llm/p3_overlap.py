@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm import lookalike as look
 from rankloom.llm import overlap
 from rankloom.operators.skew import salted_lookup
+from rankloom.plans import sqltext as S
 from rankloom.session import materialize, read_table
 
 
@@ -44,4 +46,20 @@ def p3_fractions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_fractions": p3_fractions}
-SQL: dict[str, str] = {}
+
+# Every pair of rows with golds of one form is compared here, which small tables allow; no chunk is cut.  The engine's
+# distance counts bytes, so the letters of a pair (fewer than 128 different ones) are given a byte each first.
+def _rows_sql(table: str) -> str:
+    context = f"regexp_replace({S.nfkc("coalesce(context_prev, '')")}, {S.quote(look.INVISIBLE)}, '', 'g')"
+    return f"SELECT row_id, gold, {context} AS c, {S.key_norm('reading')} AS r FROM {table} WHERE reading IS NOT NULL AND gold IS NOT NULL"
+
+
+SQL = {
+    "p3_found": f"""
+    WITH strings AS (SELECT gold AS v FROM holdout UNION SELECT gold FROM train), {look.canonical_ctes()},
+    h AS ({_rows_sql('holdout')}), t AS ({_rows_sql('train')}), hf AS (SELECT h.*, form FROM h JOIN canonical ON v = gold), tf AS (SELECT t.*, form FROM t JOIN canonical ON v = gold),
+    pairs AS (SELECT hf.row_id AS holdout_id, tf.row_id AS train_id, hf.r || hf.c AS a, tf.r || tf.c AS b FROM hf JOIN tf USING (form) WHERE (hf.c = '') = (tf.c = '')),
+    letters AS (SELECT *, array_to_string(list_distinct(string_split(a || b, '')), '') AS used FROM pairs), codes AS (SELECT string_agg(chr(i::INTEGER), '' ORDER BY i) AS bytes FROM range(1, 128) t(i)),
+    short AS (SELECT *, translate(a, used, left(bytes, length(used))) AS x, translate(b, used, left(bytes, length(used))) AS y FROM letters, codes)
+    SELECT holdout_id, train_id FROM short WHERE levenshtein(x, y) * 8 <= greatest(length(a), length(b))""",
+}

@@ -182,8 +182,10 @@ def record_fractions(found: Overlaps) -> DataFrame:
         return classes.select("class", "form", "blank", F.length("body").alias("n"), F.explode(chunks_udf(F.col("body"))).alias("c")).select("class", "form", "blank", "n", "c.length", "c.chunk")
 
     there = exploded(found.right_classes).select("form", "blank", "chunk").distinct()
-    shared = salted_lookup(exploded(found.left_classes), there, ["form", "blank", "chunk"], [F.col("class")], "left_semi")
+    shared = hot_join(there, exploded(found.left_classes), ["form", "blank", "chunk"], F.col("class"))
     sums = shared.groupBy("class").agg((F.sum("length") / F.first("n")).alias("fraction"))
-    empty = found.right_classes.filter("body = ''").select("form", "blank").distinct().withColumn("met", F.lit(1.0))
-    every = found.left_classes.select("class", "form", "blank", "body").join(sums, "class", "left").join(empty, ["form", "blank"], "left")
-    return every.select("class", F.when(F.col("body") == "", F.coalesce("met", F.lit(0.0))).otherwise(F.coalesce("fraction", F.lit(0.0))).alias("fraction"))
+    full = found.left_classes.filter("body <> ''").select("class").join(sums, "class", "left").select("class", F.coalesce("fraction", F.lit(0.0)).alias("fraction"))
+    # At most one class of each group has no characters.
+    blank = found.left_classes.filter("body = ''").select("class", "form", "blank")
+    met = found.right_classes.filter("body = ''").select("form", "blank", F.lit(1.0).alias("fraction"))
+    return full.unionByName(blank.join(met, ["form", "blank"], "left").select("class", F.coalesce("fraction", F.lit(0.0)).alias("fraction")))

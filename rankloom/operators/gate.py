@@ -34,6 +34,13 @@ def decide_dual(df: DataFrame, tau_native: Column, tau_inject: Column, n_native:
     return decide(df, tau)
 
 
+def at_each(decided: DataFrame, taus: list[float]) -> DataFrame:
+    """Decided rows once for each tau: winner and margin are found before the rows are copied, only the gate after."""
+    each = decided.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
+    each = each.withColumn("overwritten", F.coalesce((F.col("rerank_top1") != F.col("base")) & (F.col("margin") >= F.col("tau")), F.lit(False)))
+    return each.withColumn("final_top1", F.when(F.col("overwritten"), F.col("rerank_top1")).otherwise(F.col("base")))
+
+
 def rate(part: Column, whole: Column) -> Column:
     """Rounded share, zero where there is nothing to divide by."""
     return F.when(whole > 0, F.bround(part / whole, 6)).otherwise(F.lit(0.0))
@@ -41,8 +48,7 @@ def rate(part: Column, whole: Column) -> Column:
 
 def sweep(df: DataFrame, taus: list[float], target: str = "target", groups: tuple[str, ...] = ()) -> DataFrame:
     """One row for each tau (and group): hits before and after, recovery, regression and overwrite rates."""
-    each = df.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
-    d = decide(each, F.col("tau"))
+    d = at_each(decide(df, F.lit(0.0)).select(*groups, target, "base", "rerank_top1", "margin"), taus)
     t, b, r, f = F.col(target), F.col("base"), F.col("rerank_top1"), F.col("final_top1")
     on = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
     sums = d.groupBy(*groups, "tau").agg(

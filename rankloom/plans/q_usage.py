@@ -125,10 +125,11 @@ def policy_decisions(spark: SparkSession, folder: str) -> DataFrame:
     g = with_eligible(spark, folder, g, "r", "grp")
     seen = read(spark, folder, "train").filter("reading IS NOT NULL").select(T.context_key_norm(F.col("reading")).alias("r")).distinct().withColumn("known", F.lit(True))
     g = salted_lookup(g, seen, ["r"], [F.col("grp")], "left").withColumn("overlap", F.coalesce("known", F.lit(False)))
-    each = g.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
-    each = each.withColumn("skip", F.when(F.col("policy") != "none", skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.col("policy") == "strict")))
-    d = gate.decide(each, F.col("tau")).withColumn("wins", F.col("skip").isNull() & F.col("overwritten"))
-    d = d.withColumn("reason", F.coalesce("skip", F.when((F.col("policy") != "none") & F.col("wins") & T.junk_surface(F.col("rerank_top1")), "junk_candidate")))
+    g = g.withColumn("safe", skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.lit(False))).withColumn("strict", skip_reason(F.col("r"), F.col("c"), F.col("eligible"), F.lit(True)))
+    g = gate.decide(g, F.lit(0.0)).withColumn("junk", T.junk_surface(F.col("rerank_top1"))).select("grp", "base", "target", "rerank_top1", "margin", "junk", "safe", "strict", "overlap")
+    each = gate.at_each(g.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))), TAUS)
+    d = each.withColumn("skip", F.when(F.col("policy") == "safety", F.col("safe")).when(F.col("policy") == "strict", F.col("strict"))).withColumn("wins", F.col("skip").isNull() & F.col("overwritten"))
+    d = d.withColumn("reason", F.coalesce("skip", F.when((F.col("policy") != "none") & F.col("wins") & F.col("junk"), "junk_candidate")))
     return d.withColumn("final_top1", F.when(F.col("wins") & F.col("reason").isNull(), F.col("rerank_top1")).otherwise(F.col("base")))
 
 

@@ -98,3 +98,17 @@ def negatives(target: Column, candidates: Column, most: int = 15) -> Column:
 
 def hit_at(target: Column, candidates: Column, k: int) -> Column:
     return F.coalesce(F.array_contains(cap(candidates, k), target), F.lit(False))
+
+
+def paths(segments: Column, whole: Column, most: int) -> Column:
+    """Whole candidates out of segments with alternates: the best path, then each segment's alternates with the others at
+    their best, then the candidates of the whole key; each once, at most ``most``.  Segments without alternates count as empty.
+    """
+    best = F.transform(segments, lambda s: F.coalesce(F.get(s, F.lit(0)), F.lit("")))
+    first = F.array(F.array_join(best, ""))
+
+    def alternates(s: Column, i: Column) -> Column:
+        before, after = F.array_join(F.slice(best, F.lit(1), i), ""), F.array_join(F.slice(best, i + 2, F.size(best)), "")
+        return F.transform(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda x: F.concat(before, x, after))
+
+    return cap(dedupe(F.concat(first, F.flatten(F.transform(segments, alternates)), or_empty(whole))), most)

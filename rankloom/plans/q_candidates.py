@@ -258,18 +258,27 @@ def usage_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT n_regionkey AS grp, list(n_name ORDER BY n_nationkey) AS names FROM nation GROUP BY 1),
-    p AS (SELECT grp, names[1] || names[2] AS path, 0 AS pri FROM s UNION ALL SELECT grp, unnest(names[2:]) || names[2], 1 FROM s UNION ALL SELECT grp, names[1] || unnest(names[3:]), 2 FROM s),
-    d AS (SELECT grp, path, min(pri) AS pri FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pri, path) AS k FROM d)
-    SELECT grp, path, k::INTEGER AS place FROM r WHERE k <= 6"""
+    """WITH g AS (SELECT row_id, [coalesce(mozc_nbest, [])[1:3], [coalesce(gold, ''), coalesce(reading, '')], coalesce(mozc_nbest, [])[2:3]] AS seg, mozc_nbest FROM holdout), b AS (SELECT row_id, seg, mozc_nbest, list_transform(seg, lambda s: coalesce(s[1], '')) AS best FROM g),
+    p AS (SELECT row_id, list_concat([array_to_string(best, '')], list_transform(seg[1][2:], lambda x: x || best[2] || best[3]), list_transform(seg[2][2:], lambda x: best[1] || x || best[3]), list_transform(seg[3][2:], lambda x: best[1] || best[2] || x), coalesce(mozc_nbest, [])) AS paths FROM b),
+    e AS (SELECT row_id, unnest(paths) AS path, generate_subscripts(paths, 1) AS i FROM p), d AS (SELECT row_id, path, min(i) AS i FROM e WHERE path <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY i) AS k FROM d)
+    SELECT row_id, path, k::INTEGER AS place FROM r WHERE k <= 8"""
 )
 def nbest_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Path expansion over two segments: the best path, then alternates of each segment with the other fixed; capped."""
-    from pyspark.sql import Window as W
+    """Paths over segments with alternates: the best one, each segment's alternates with the others fixed, then whole candidates; capped."""
+    none, c = F.lit(""), C.or_empty(F.col("mozc_nbest"))
+    segments = F.array(F.slice(c, 1, 3), F.array(F.coalesce("gold", none), F.coalesce("reading", none)), F.slice(c, 2, 2))
+    each = read(spark, folder, "holdout").select("row_id", F.posexplode(C.paths(segments, F.col("mozc_nbest"), 8)).alias("place", "path"))
+    return each.select("row_id", "path", (F.col("place") + 1).alias("place"))
+
+
+@query(f"WITH {GROUPS_SQL}, r AS (SELECT grp, cands, list_reverse(cands)[1:2] AS wish FROM g) SELECT grp, array_to_string(list_concat(list_filter(wish, lambda x: list_contains(cands, x)), list_filter(cands, lambda x: NOT list_contains(wish, x))), '|') AS reordered FROM r")
+def reorder_segment(spark: SparkSession, folder: str) -> DataFrame:
+    """A list in a wished order of two of its members; the others keep their places behind."""
+    g = groups(spark, folder).withColumn("wish", F.slice(F.reverse("cands"), 1, 2))
+    return g.select("grp", F.array_join(C.reorder(F.col("cands"), F.col("wish")), "|").alias("reordered"))
+
 
-    s = read(spark, folder, "nation").groupBy(F.col("n_regionkey").alias("grp")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
-    a, b = F.get("names", F.lit(0)), F.get("names", F.lit(1))
-    piece = lambda text, pri: F.struct(text.alias("path"), F.lit(pri).alias("pri"))
-    paths = F.concat(F.array(piece(F.concat(a, b), 0)), F.transform(F.slice("names", 2, 100), lambda x: piece(F.concat(x, b), 1)), F.transform(F.slice("names", 3, 100), lambda x: piece(F.concat(a, x), 2)))
-    each = s.select("grp", F.inline(paths)).groupBy("grp", "path").agg(F.min("pri").alias("pri"))
-    return each.withColumn("place", F.row_number().over(W.partitionBy("grp").orderBy("pri", "path"))).filter("place <= 6").select("grp", "path", "place")
+@query(f"{SWEPT_SQL}, k AS (SELECT tau, source, count(*) FILTER (WHERE base = target) AS hits, count(*) FILTER (WHERE base = target AND final_top1 <> target) AS lost, count(*) FILTER (WHERE final_top1 = target) - count(*) FILTER (WHERE base = target) AS gained, count(*) AS n FROM f GROUP BY 1, 2), c AS (SELECT tau, bool_and(lost < 0.02 * hits OR hits = 0) AS safe, round(min(gained / n) * 100, 4) AS worst_delta FROM k GROUP BY 1) SELECT tau, worst_delta FROM c WHERE safe ORDER BY worst_delta DESC, tau LIMIT 1")
+def cross_set_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """The threshold with the best worst gain among those that are safe in every set, or none; a choice of one row of a small sweep."""
+    return cross_set_selection(spark, folder).filter("safe").orderBy(F.desc("worst_delta"), "tau").limit(1).select("tau", "worst_delta")

@@ -70,6 +70,24 @@ def classify_actions(spark: SparkSession, folder: str) -> DataFrame:
     return n.withColumn("rank", rank).select("term_id", "rank", action.alias("action"))
 
 
+@query(
+    f"""WITH {MAP_SQL}, t AS (SELECT row_id, gold, {S.key_norm('reading')} AS key, {S.weak('gold')} AS w, {S.strong('gold')} AS ns FROM holdout WHERE gold IS NOT NULL), j AS (SELECT t.*, list_filter(coalesce(candidates, []), lambda x: x <> '') AS c FROM t LEFT JOIN m USING (key)),
+    e AS (SELECT row_id, unnest(list_distinct(c)) AS x FROM j), n AS (SELECT row_id, x, {S.strong('x')} AS s FROM e), f AS (SELECT j.row_id, min(list_position(c, x)) FILTER (WHERE x = gold) AS exact, min(list_position(c, x)) FILTER (WHERE s = ns AND ns <> '') AS loose FROM j JOIN n USING (row_id) GROUP BY 1)
+    SELECT row_id, len(c)::INTEGER AS n, coalesce(exact, loose)::INTEGER AS gold_rank, coalesce(exact, loose) IS NOT NULL AS gold_in, coalesce(c[1] = gold OR {S.weak('c[1]')} = w, false) AS hit1 FROM j LEFT JOIN f USING (row_id)"""
+)
+def attach_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with the candidates of their key: the target's place, exactly else under the strong norm, and whether the first one is it under the weak norm."""
+    rows = keyed(read(spark, folder, "holdout").filter("gold IS NOT NULL").select("row_id", "reading", "gold"))
+    joined = salted_lookup(rows, candidate_map(spark, folder), ["key"], [F.col("row_id")], "left")
+    some = F.filter(C.or_empty(F.col("candidates")), lambda x: x != "")
+    n = joined.select("row_id", "gold", T.nfkc(F.col("gold")).alias("g"), some.alias("c"), T.nfkc(F.array_join(some, "\u0001")).alias("j"))
+    strong = lambda x: F.regexp_replace(x, r"(?U)[\s・･]", "")
+    n = n.withColumn("norms", F.when(F.size("c") > 0, F.split("j", "\u0001")).otherwise(F.array().cast("array<string>")))
+    place = C.rank_exact_then(F.col("gold"), F.col("c"), strong(F.col("g")), F.transform("norms", strong)).cast("int")
+    hit = (F.get("c", F.lit(0)) == F.col("gold")) | (T.strip(F.get("norms", F.lit(0))) == T.strip(F.col("g")))
+    return n.select("row_id", F.size("c").alias("n"), place.alias("gold_rank"), place.isNotNull().alias("gold_in"), F.coalesce(hit, F.lit(False)).alias("hit1"))
+
+
 @query("SELECT row_id FROM train t WHERE NOT EXISTS (SELECT 1 FROM holdout h WHERE h.source = t.source AND h.reading = t.reading AND h.gold = t.gold) AND NOT EXISTS (SELECT 1 FROM holdout h WHERE h.reading = t.reading AND h.gold = t.gold)")
 def holdout_anti(spark: SparkSession, folder: str) -> DataFrame:
     """Training rows that are not in the holdout, by full key or by (reading, target): two anti joins, not one OR."""

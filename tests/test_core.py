@@ -184,3 +184,10 @@ def test_previous_rows_across_blocks(spark):
         own = [i for i in range(60) if (i % 7 != 0) == (key == "hot")]
         for at, i in enumerate(own):
             assert got[i] == (f"v{own[at - 1]}" if at else None, f"v{own[at - 2]}" if at > 1 else None)
+
+
+def test_paths(spark):
+    rows = [(1, [["a", "b"], ["x", "y", "z"]], ["w", "ax"]), (2, [["a"], []], None), (3, [], ["q", None, ""])]
+    df = spark.createDataFrame(rows, "i int, s array<array<string>>, w array<string>")
+    got = {r["i"]: r["p"] for r in df.select("i", C.paths(F.col("s"), F.col("w"), 6).alias("p")).collect()}
+    assert got == {1: ["ax", "bx", "ay", "az", "w"], 2: ["a"], 3: ["q"]}

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft-membership least squares.
 
 1. A classifier of domains (softmax regression over hashed character pairs) is trained on a labelled sample of at most
-   ``SAMPLE`` documents of each source and ``SAMPLE_ROWS`` in all; it predicts the posterior of every document.
+   ``SAMPLE`` documents of each source, however many sources there are; it predicts the posterior of every document.
 2. A document's membership in the domains of a mix is that posterior over them, so ambiguous documents count for several.
 3. Rates (expected repeats) of all documents are fitted by projected gradient: the residual between expected domain
    token totals and targets is summed over all documents in each step, and each rate moves against it and is projected
@@ -9,7 +9,7 @@
    Rates are a function of the few residual vectors so far, so nothing is stored between steps.
 4. The task counts shares by the sources' own names, so the rates of each source are then brought to its target by that
    count, down in proportion or up by a part of what each lacks to its repeats; ``Mixed.fit`` holds both totals.  Rates
-   become whole repeats by systematic rounding over running totals in length order.
+   become whole repeats by systematic rounding over running totals in length order, which is the same at every size.
 5. What the rounding leaves over or short in a source is settled by rounding single documents the other way.
 
 No length is left out: every document with text of a source of the mix takes part in the fit.
@@ -18,12 +18,13 @@ The total is the largest for which every present source can meet its share withi
 have no tokens are left out, the other weights are rescaled, and the report shows them with share zero.
 
 Defined results: null and empty texts and documents of other or null sources are not chosen; repeated rows count each;
-weights need not add up to one; an empty table or no targets give an empty mix; beyond ``MOST_SOURCES`` sources no
-classifier is trained and a document's membership is its own source.
+weights need not add up to one; an empty table or no targets give an empty mix.
 """
 
 from __future__ import annotations
 
+import tempfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.tokens import VOCABULARY, encoding
 from rankloom.operators.dedup import cap_per_key
-from rankloom.operators.prefix import hash_bucket, running_total
-from rankloom.session import materialize
+from rankloom.operators.prefix import buckets_for, running_total
+from rankloom.session import discard, materialize
 
-#: Width of the hashed features; labelled documents of each source and in all; most sources of a classifier.
-WIDTH, SAMPLE, SAMPLE_ROWS, MOST_SOURCES = 1024, 100, 20_000, 2000
+#: Width of the hashed features; labelled documents of each source, and how many come to the driver at once.
+WIDTH, SAMPLE, ROWS_AT_ONCE = 1024, 100, 1024
+#: Rows whose scores are held at once, in training and in judging; most sources for which they are that many.
+TRAINED, JUDGED, MOST_SOURCES = 4096, 512, 2000
 #: Gradient steps at most, and the residual of a domain, as a part of its mix, at which they end.
 STEPS, RESIDUAL = 12, 0.002
 #: Posteriors below this are left out, the others make up one.
@@ -61,15 +64,21 @@ def hashed_pairs(texts: list[str | None]) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-6)
 
 
+def rows_at_once(rows: int, classes: int) -> int:
+    """Fewer rows beyond ``MOST_SOURCES`` classes, so that the matrix of their scores grows no further."""
+    return max(1, rows * MOST_SOURCES // max(classes, MOST_SOURCES))
+
+
 def train_softmax(rows: np.ndarray, labels: np.ndarray, classes: int, steps: int = 150, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
-    """(WIDTH, classes) weights by full-batch Adam; deterministic."""
-    weights, first, second = np.zeros((rows.shape[1], classes), np.float32), 0.0, 0.0
-    target = np.zeros((len(rows), classes), np.float32)
-    target[np.arange(len(rows)), labels] = 1
+    """(WIDTH, classes) weights by full-batch Adam, the gradient summed over blocks of rows; deterministic."""
+    weights, first, second, height = np.zeros((rows.shape[1], classes), np.float32), 0.0, 0.0, rows_at_once(TRAINED, classes)
     for step in range(1, steps + 1):
-        scores = rows @ weights
-        scores = np.exp(scores - scores.max(1, keepdims=True))
-        grad = rows.T @ (scores / scores.sum(1, keepdims=True) - target) / len(rows) + penalty * weights
+        grad = penalty * weights
+        for at in range(0, len(rows), height):
+            part = rows[at : at + height]
+            wrong = posteriors(part, weights)
+            wrong[np.arange(len(part)), labels[at : at + height]] -= 1
+            grad += part.T @ wrong / len(rows)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-6)
     return weights
@@ -82,21 +91,33 @@ def posteriors(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, key: str, text: str, source: str, sources: list[str], per_source: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``per_source`` documents of each source, those with the smallest hashes."""
-    per_source = max(1, min(per_source, SAMPLE_ROWS // max(1, len(sources))))
+    """Features and labels of at most ``per_source`` documents of each source, those with the smallest hashes.
+
+    The features come to a nameless file of the driver, 4 kB for each document, and are mapped from there.
+    """
     first = W.partitionBy(source).orderBy(F.xxhash64(F.lit(3), key), key)
     chosen = docs.filter(F.col(source).isin(sources) & (F.length(text) > 0)).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_source)
     index = {s: i for i, s in enumerate(sources)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([index[x] for x in batch[0].to_pylist()], pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in hashed_pairs(batch[1].to_pylist())], pa.binary())], ["label", "row"])
-
-    rows = chosen.select(source, text).mapInArrow(run, "label int, row binary").collect()  # at most SAMPLE_ROWS rows
-    if not rows:
-        return np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64)
-    return np.stack([np.frombuffer(r["row"], np.float32) for r in rows]), np.array([r["label"] for r in rows])
+        for whole in batches:
+            for at in range(0, whole.num_rows, JUDGED):
+                batch = whole.slice(at, JUDGED)
+                yield pa.RecordBatch.from_arrays([pa.array([index[x] for x in batch[0].to_pylist()], pa.int32()), batch[2], pa.array([zlib.compress(x.astype(np.float32).tobytes(), 1) for x in hashed_pairs(batch[1].to_pylist())], pa.binary())], ["label", "place", "row"])
+
+    table, counts = materialize(chosen.select(source, text, "_r").mapInArrow(run, "label int, place int, row binary")), np.zeros(len(sources), np.int64)
+    for r in table.groupBy("label").count().collect():  # one row for each source
+        counts[r["label"]] = r["count"]
+    starts, rows = np.cumsum(counts) - counts, np.zeros((0, WIDTH), np.float32)
+    if counts.sum():
+        with tempfile.TemporaryFile() as file:
+            for r in table.repartition(-(-int(counts.sum()) // ROWS_AT_ONCE), "label", "place").toLocalIterator():  # one part at a time
+                file.seek(int(starts[r["label"]] + r["place"] - 1) * 4 * WIDTH)  # in order of source and hash, wherever the rows lie
+                file.write(zlib.decompress(r["row"]))
+            file.flush()
+            rows = np.memmap(file, np.float32, "r", shape=(int(counts.sum()), WIDTH))
+    discard(table)
+    return rows, np.repeat(np.arange(len(sources)), counts)
 
 
 @dataclass
@@ -162,21 +183,19 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, v
     nothing = Mixed(spark.createDataFrame([], f"mix_id int, {key} {key_type}, {source} string, tokens bigint, rate double, repeats bigint"), [])
     if not names:
         return nothing
-    weights = None
-    if len(names) <= MOST_SOURCES:
-        rows, labels = labelled_sample(docs, key, text, source, names)
-        weights = train_softmax(rows, labels, len(names)) if len(rows) else None
+    rows, labels = labelled_sample(docs, key, text, source, names)
+    if not len(rows):
+        return nothing
+    weights, height = train_softmax(rows, labels, len(names)), rows_at_once(JUDGED, len(names))
+    del rows
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):  # a bounded matrix of features
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, height):  # bounded matrices of features and scores
+                batch = whole.slice(at, height)
                 texts, label = batch[2].to_pylist(), np.array([index[x] for x in batch[1].to_pylist()], np.int32)
-                if weights is None:
-                    offsets, domain, value = np.arange(len(label) + 1), label, np.ones(len(label), np.float32)
-                else:
-                    offsets, domain, value = sparse(posteriors(hashed_pairs(texts), weights))
+                offsets, domain, value = sparse(posteriors(hashed_pairs(texts), weights))
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (domain, value)]
                 yield pa.RecordBatch.from_arrays([batch[0], pa.array(label), pa.array([len(encode(x)) for x in texts], pa.int64()), *lists], ["key", "source", "tokens", "domain", "value"])
 
@@ -241,18 +260,31 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, v
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), plan.mix_id), pa.int32()), batch["key"].take(pa.array(chosen)), pa.array([names[x] for x in label[chosen]]), pa.array(size[chosen].astype(np.int64)), pa.array(rate[chosen])], ["mix_id", "key", "source", "tokens", "rate"])
 
     fitted = materialize(judged.mapInArrow(final, f"mix_id int, key {key_type}, source string, tokens bigint, rate double"))
-    number = max(1, int(fitted.count() / 200_000))
-    ordered = fitted.withColumn("hb", F.floor(F.log2(F.col("tokens").cast("double")) * 4).cast("int") * number + hash_bucket(number, 31, F.col("key")))
-    started = running_total(ordered, ["mix_id", "source"], "hb", [F.col("tokens"), F.xxhash64(F.lit(31), "key"), F.col("key")], "rate", "start")
-    offset = F.pmod(F.xxhash64(F.lit(37), "mix_id", "source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    repeats = (F.floor(F.col("start") + F.col("rate") + offset + 1e-9) - F.floor(F.col("start") + offset + 1e-9)).cast("bigint")
-    drawn = materialize(started.withColumn("repeats", repeats).select("mix_id", "key", "source", "tokens", "rate", "start", "repeats"))
+    drawn = materialize(drawing(fitted))
     goals = [(plan.mix_id, names[i], float(plan.target[i])) for plan in mixes for i in np.flatnonzero(plan.share)]
     changes = settling(drawn, spark.createDataFrame(goals, "mix_id int, source string, target double"), key_type)
     settled = drawn.join(changes, ["mix_id", "source", "start", "key"], "left").withColumn("repeats", F.col("repeats") + F.coalesce("change", F.lit(0)))
     return Mixed(settled.filter("repeats > 0").select("mix_id", F.col("key").alias(key), F.col("source").alias(source), "tokens", "rate", "repeats"), fit)
 
 
+def drawing(fitted: DataFrame) -> DataFrame:
+    """(mix_id, key, source, tokens, rate, start, repeats) by systematic rounding over running totals of the rates.
+
+    The order within a source is (tokens, hash, key) at every size.  A bucket of the totals is one length, or a range of
+    the hashes in it where many documents of a source share a length, so buckets follow that order and their number
+    changes nothing.  The one window over the buckets of a source has a row for each length and range.
+    """
+    least = F.xxhash64(F.lit(31), "key")
+    most = fitted.groupBy("mix_id", "source", "tokens").count().agg(F.max("count")).first()[0]
+    ranges = buckets_for(most or 0)
+    place = F.shiftright((F.shiftright(least, 32) + F.lit(1 << 31)) * F.lit(ranges), 32)  # the upper half of the hash, as a part of its span
+    ordered = fitted.withColumn("hb", F.col("tokens") * ranges + place)
+    started = running_total(ordered, ["mix_id", "source"], "hb", [F.col("tokens"), least, F.col("key")], "rate", "start")
+    offset = F.pmod(F.xxhash64(F.lit(37), "mix_id", "source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    repeats = (F.floor(F.col("start") + F.col("rate") + offset + 1e-9) - F.floor(F.col("start") + offset + 1e-9)).cast("bigint")
+    return started.withColumn("repeats", repeats).select("mix_id", "key", "source", "tokens", "rate", "start", "repeats")
+
+
 def settling(drawn: DataFrame, goals: DataFrame, key_type: str) -> DataFrame:
     """(mix_id, source, start, key, change): the documents to round the other way, so that each source has its target tokens.
 

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from rankloom.llm import mixing
+from rankloom.operators import prefix
 
 WORDS = {"a": "山川海空", "b": "鉄道駅車", "c": "茶花草木"}
 
@@ -89,3 +90,54 @@ def test_one_long_document_is_settled(spark):
     drawn = spark.createDataFrame([(1, 1, "a", 14, 0.2, 0.0, 0), (1, 2, "a", 320, 0.2, 0.2, 1), (1, 3, "a", 1684, 0.3, 0.4, 0), (1, 4, "a", 850, 0.3, 0.7, 0), (1, 5, "a", 17773, 0.1, 0.95, 1)], "mix_id int, key bigint, source string, tokens bigint, rate double, start double, repeats bigint")
     changes = {r["key"]: r["change"] for r in mixing.settling(drawn, spark.createDataFrame([(1, "a", 2840.0)], "mix_id int, source string, target double"), "bigint").collect()}
     assert changes == {5: -1, 3: 1, 4: 1}
+
+
+def test_the_order_is_the_same_at_every_size(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(m, k, s, rng.choice((5, 6, 6, 7, 90, 300)), rng.randint(1, 15) / 8) for m in (1, 2) for s in "ab" for k in range(120)]
+    fitted = spark.createDataFrame(rows, "mix_id int, key bigint, source string, tokens bigint, rate double")
+    least = {r["key"]: r["h"] for r in fitted.select("key", F.xxhash64(F.lit(31), "key").alias("h")).distinct().collect()}
+    expected, start = {}, dict.fromkeys([(m, s) for m in (1, 2) for s in "ab"], 0.0)
+    for m, k, s, _, rate in sorted(rows, key=lambda r: (r[3], least[r[1]], r[1])):
+        expected[m, s, k] = start[m, s]
+        start[m, s] += rate
+    draws = []
+    for most in (3, 17, 50_000):
+        monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", most)
+        drawn = mixing.drawing(fitted).collect()
+        assert {(r["mix_id"], r["source"], r["key"]): r["start"] for r in drawn} == expected  # sums of eighths are exact
+        draws.append({(r["mix_id"], r["source"], r["key"]): r["repeats"] for r in drawn})
+    assert draws[0] == draws[1] == draws[2]
+
+
+def test_memberships_do_not_depend_on_the_number_of_sources(spark, monkeypatch):
+    docs = tables(spark, {"a": 300, "b": 150})
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.translate("text", WORDS["a"], WORDS["b"])).otherwise(F.col("text")))  # of a, but as those of b
+    goal = spark.createDataFrame([(1, "a", 1.0, 2), (1, "b", 1.0, 2)], "mix_id int, source string, weight double, max_repeats int")
+    runs = []
+    for most in (2000, 1):
+        monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+        monkeypatch.setattr(mixing, "TRAINED", 64 if most == 1 else 4096, raising=False)
+        run = mixing.mix(docs, goal, "doc_id", "text", "source")
+        runs.append(({r["doc_id"]: r["rate"] for r in run.chosen.collect()}, {s: expected for _, s, _, expected, _ in run.fit}))
+    (rates, fit), (others, other_fit) = runs
+    assert len({round(x, 3) for x in rates.values()}) > 4
+    assert all(abs(rates[k] - others[k]) < 1e-3 for k in rates.keys() & others.keys())
+    assert all(abs(fit[s] - other_fit[s]) < 1e-3 * fit[s] for s in "ab")
+
+
+def test_gradients_by_blocks(monkeypatch):
+    rng = mixing.np.random.default_rng(4)
+    rows, labels = rng.random((90, 16), mixing.np.float32), rng.integers(0, 5, 90)
+    whole = mixing.train_softmax(rows, labels, 5)
+    monkeypatch.setattr(mixing, "TRAINED", 7)
+    assert mixing.np.abs(mixing.train_softmax(rows, labels, 5) - whole).max() < 0.01
+    assert mixing.rows_at_once(512, 2000) == 512 and mixing.rows_at_once(512, 20_000) == 51 and mixing.rows_at_once(512, 10**9) == 1
+
+
+def test_every_source_has_its_full_sample(spark):
+    docs = spark.range(250 * 90).selectExpr("id AS doc_id", "concat('s', id % 250) AS source", "concat(hex(id), 'はの') AS text")
+    rows, labels = mixing.labelled_sample(docs, "doc_id", "text", "source", [f"s{i}" for i in range(250)])
+    assert rows.shape == (250 * 90, mixing.WIDTH) and (mixing.np.bincount(labels) == 90).all()
+    first = docs.filter("source = 's7'").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").select("text").first()["text"]
+    assert (rows[labels == 7][0] == mixing.hashed_pairs([first])[0]).all()
